@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["reports", "findings"]
+MODULES = ["reports", "findings", "cleaning"]
 
 
 def _load() -> None:
