@@ -24,7 +24,7 @@ DATE_PATTERN = (r"(?U)\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}|\d
 def ymd(y: Column, m: Column, d: Column) -> Column:
     """A date from year, month and day; null when there is no such day."""
     parts = [F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0")]
-    return F.try_to_date(F.concat_ws("-", *parts), "yyyy-MM-dd")
+    return F.try_to_date(F.concat(parts[0], F.lit("-"), parts[1], F.lit("-"), parts[2]), "yyyy-MM-dd")
 
 
 def _century(two: Column) -> Column:

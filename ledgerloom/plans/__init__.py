@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["reports", "findings", "cleaning"]
+MODULES = ["reports", "findings", "cleaning", "texts", "models", "storage"]
 
 
 def _load() -> None:

@@ -17,7 +17,6 @@ from ledgerloom.plans.edge import edge
 from ledgerloom.plans.entities import AS_OF, Tables, money
 from ledgerloom.plans.scratch import new_folder
 
-KEY = F.col("o_orderkey")
 PRICE = "o_totalprice::DECIMAL(18,2)"
 
 
@@ -26,11 +25,23 @@ def exact(x: str, n: int = 2) -> str:
     return f"round(({x})::DOUBLE::VARCHAR::DECIMAL(30,12), {n})::DOUBLE"
 
 
+def key():
+    return F.col("o_orderkey")
+
+
+def day():
+    return F.col("o_orderdate").cast("date")
+
+
+def total():
+    return money("o_totalprice")
+
+
 def pick(n: int, *choices):
     """One of several texts by ``o_orderkey % n``."""
-    out = F.when(KEY % n == 0, choices[0])
+    out = F.when(key() % n == 0, choices[0])
     for i, c in enumerate(choices[1:], 1):
-        out = out.when(KEY % n == i, c)
+        out = out.when(key() % n == i, c)
     return out
 
 
@@ -58,8 +69,6 @@ def messy_date(d):
                 F.date_format(d, "MMMM d, yyyy"), dates.format_date(d, "french"))
 
 
-DAY = F.col("o_orderdate").cast("date")
-TOTAL = money("o_totalprice")
 
 
 # --------------------------------------------------------------------- amounts
@@ -67,12 +76,12 @@ TOTAL = money("o_totalprice")
 
 @query("parse_amount", f"SELECT o_orderkey, {PRICE}::DOUBLE AS amount FROM orders", finance=False)
 def _(t):
-    return orders(t).select("o_orderkey", amounts.parse_amount(messy_amount(TOTAL)).alias("amount"))
+    return orders(t).select("o_orderkey", amounts.parse_amount(messy_amount(total())).alias("amount"))
 
 
 @query("parse_amount_prefix", f"SELECT o_orderkey, {PRICE}::DOUBLE AS amount FROM orders", finance=False)
 def _(t):
-    text = pick(3, american(TOTAL), F.concat(TOTAL.cast("string"), F.lit(" EUR")), TOTAL.cast("string"))
+    text = pick(3, american(total()), F.concat(total().cast("string"), F.lit(" EUR")), total().cast("string"))
     return orders(t).select("o_orderkey", amounts.parse_amount_prefix(text).alias("amount"))
 
 
@@ -81,7 +90,7 @@ SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN 'USD' WHEN 2 THEN 'GBP' WHEN
                                        WHEN 6 THEN 'UNKNOWN' WHEN 7 THEN 'CHF' ELSE 'EUR' END AS currency
 FROM orders""", finance=False)
 def _(t):
-    a = american(TOTAL)
+    a = american(total())
     text = pick(8, F.concat(F.lit("$"), a), F.concat(a, F.lit(" €")), F.concat(F.lit("£"), a),
                 F.concat(a, F.lit(" CHF")), F.concat(a, F.lit(" jpy")), F.concat(F.lit("France "), a), F.lit(""),
                 F.concat(F.lit("Fr "), a))
@@ -110,10 +119,10 @@ FROM (SELECT o_orderkey, o_orderkey % 3 AS k, CASE WHEN o_orderkey % 3 = 2 THEN
 def _(t):
     """Net only, net and gross, gross only. "TVA 20%" reads as a tax amount of 20."""
     text = pick(3,
-                F.concat(F.lit("Montant HT: "), european(TOTAL), F.lit(" EUR, taux 20%")),
-                F.concat(F.lit("Total HT: "), american(TOTAL), F.lit(" EUR, TVA 20%, Total TTC: "),
-                         american(TOTAL + 100), F.lit(" EUR")),
-                F.concat(F.lit("Amount due: "), american(TOTAL), F.lit(" USD (VAT 5.5%)")))
+                F.concat(F.lit("Montant HT: "), european(total()), F.lit(" EUR, taux 20%")),
+                F.concat(F.lit("Total HT: "), american(total()), F.lit(" EUR, TVA 20%, Total TTC: "),
+                         american(total() + 100), F.lit(" EUR")),
+                F.concat(F.lit("Amount due: "), american(total()), F.lit(" USD (VAT 5.5%)")))
     return orders(t).select("o_orderkey", amounts.extract_amounts(text).alias("a")).select("o_orderkey", "a.*")
 
 
@@ -133,8 +142,8 @@ SELECT o_orderkey, concat(replace(replace(format('{{:,.2f}}', {PRICE}::DOUBLE),
             ELSE concat(format('{{:,.2f}}', {PRICE}::DOUBLE), ' CHF') END AS en FROM orders""", finance=False)
 def _(t):
     code = pick(3, F.lit("EUR"), F.lit("USD"), F.lit("CHF"))
-    return orders(t).select("o_orderkey", amounts.format_amount(TOTAL, F.lit("EUR"), "fr").alias("fr"),
-                            amounts.format_amount(TOTAL, code, "en").alias("en"))
+    return orders(t).select("o_orderkey", amounts.format_amount(total(), F.lit("EUR"), "fr").alias("fr"),
+                            amounts.format_amount(total(), code, "en").alias("en"))
 
 
 # ----------------------------------------------------------------------- dates
@@ -143,8 +152,8 @@ def _(t):
 @query("parse_date", """
 SELECT o_orderkey, o_orderdate::DATE AS day, o_orderdate::DATE AS day_us FROM orders""", finance=False)
 def _(t):
-    us = F.when(KEY % 2 == 0, F.date_format(DAY, "MM/dd/yyyy")).otherwise(F.date_format(DAY, "yyyy/MM/dd"))
-    return orders(t).select("o_orderkey", dates.parse_date(messy_date(DAY)).alias("day"),
+    us = F.when(key() % 2 == 0, F.date_format(day(), "MM/dd/yyyy")).otherwise(F.date_format(day(), "yyyy/MM/dd"))
+    return orders(t).select("o_orderkey", dates.parse_date(messy_date(day())).alias("day"),
                             dates.parse_date(us, prefer_european=False).alias("day_us"))
 
 
@@ -155,10 +164,10 @@ SELECT o_orderkey, CASE o_orderkey % 5
   WHEN 2 THEN DATE '2001-08-15' + (o_orderkey % 90)::INT WHEN 3 THEN DATE '2001-08-31'
   ELSE DATE '2001-12-31' END AS day FROM orders""", finance=False)
 def _(t):
-    y = F.year(DAY).cast("string")
-    text = pick(5, F.concat(F.lit("Q"), F.quarter(DAY).cast("string"), F.lit(" "), y),
-                F.concat(F.when(F.month(DAY) <= 6, "H1 ").otherwise("h2"), y),
-                F.concat(F.lit("Net "), (KEY % 90).cast("string"), F.lit(" days")),
+    y = F.year(day()).cast("string")
+    text = pick(5, F.concat(F.lit("Q"), F.quarter(day()).cast("string"), F.lit(" "), y),
+                F.concat(F.when(F.month(day()) <= 6, "H1 ").otherwise("h2"), y),
+                F.concat(F.lit("Net "), (key() % 90).cast("string"), F.lit(" days")),
                 F.lit("end of month"), F.lit("Fin d'année"))
     return orders(t).select("o_orderkey", dates.relative_date(text, AS_OF).alias("day"))
 
@@ -167,8 +176,8 @@ def _(t):
 SELECT o_orderkey, concat(o_orderdate::DATE::VARCHAR, ',', (o_orderdate::DATE + 30)::VARCHAR) AS found
 FROM orders""", finance=False)
 def _(t):
-    text = F.concat(F.lit("Facture du "), messy_date(DAY), F.lit(" à payer avant le "),
-                    F.date_format(F.date_add(DAY, 30), "dd/MM/yyyy"), F.lit(" réf 2024-1"))
+    text = F.concat(F.lit("Facture du "), messy_date(day()), F.lit(" à payer avant le "),
+                    F.date_format(F.date_add(day(), 30), "dd/MM/yyyy"), F.lit(" réf 2024-1"))
     found = F.transform(dates.extract_dates(text), lambda d: d.cast("string"))
     return orders(t).select("o_orderkey", F.array_join(found, ",").alias("found"))
 
@@ -198,7 +207,7 @@ SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso, strftime(o_orderdat
          'septembre', 'octobre', 'novembre', 'décembre'][month(o_orderdate)], ' ', year(o_orderdate)::VARCHAR) AS french
 FROM orders""", finance=False)
 def _(t):
-    return orders(t).select("o_orderkey", *[dates.format_date(DAY, s).alias(s)
+    return orders(t).select("o_orderkey", *[dates.format_date(day(), s).alias(s)
                                             for s in ("iso", "european", "american", "french")])
 
 
@@ -207,17 +216,17 @@ SELECT o_orderkey, quarter(o_orderdate)::BIGINT AS quarter,
        (year(o_orderdate) - CASE WHEN month(o_orderdate) < 4 THEN 1 ELSE 0 END)::BIGINT AS fiscal_year
 FROM orders""", finance=False)
 def _(t):
-    return edge(orders(t).select("o_orderkey", F.quarter(DAY).alias("quarter"),
-                                 dates.fiscal_year(DAY, 4).alias("fiscal_year")))
+    return edge(orders(t).select("o_orderkey", F.quarter(day()).alias("quarter"),
+                                 dates.fiscal_year(day(), 4).alias("fiscal_year")))
 
 
 @query("norm_date", """
 SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN DATE '2026-12-31' ELSE o_orderdate::DATE END AS day_first,
        o_orderdate::DATE AS month_first FROM orders""", finance=False)
 def _(t):
-    dmy = pick(5, F.date_format(DAY, "d/M/yyyy"), F.date_format(DAY, "dd-MM-yyyy"), F.date_format(DAY, "yyyy-MM-dd"),
-               F.date_format(DAY, "MMMM d, yyyy"), F.lit("upon signature"))
-    mdy = pick(3, F.date_format(DAY, "M/d/yyyy"), F.date_format(DAY, "MM.dd.yyyy"), F.date_format(DAY, "d MMMM yyyy"))
+    dmy = pick(5, F.date_format(day(), "d/M/yyyy"), F.date_format(day(), "dd-MM-yyyy"), F.date_format(day(), "yyyy-MM-dd"),
+               F.date_format(day(), "MMMM d, yyyy"), F.lit("upon signature"))
+    mdy = pick(3, F.date_format(day(), "M/d/yyyy"), F.date_format(day(), "MM.dd.yyyy"), F.date_format(day(), "d MMMM yyyy"))
     return orders(t).select(
         "o_orderkey", dates.norm_date(dmy, "dmy", dt.date(2026, 12, 31)).alias("day_first"),
         dates.norm_date(mdy, "mdy").alias("month_first"))
@@ -232,12 +241,12 @@ SELECT o_orderkey, {PRICE}::DOUBLE AS amount, 0.2::DOUBLE AS rate, o_orderdate::
 def _(t):
     aliased = orders(t).select(
         "o_orderkey",
-        F.when(KEY % 3 == 0, messy_amount(TOTAL)).alias("total_ht"), F.when(KEY % 3 == 1, american(TOTAL)).alias("subtotal"),
-        F.when(KEY % 3 == 2, TOTAL.cast("string")).alias("net_amount"),
-        F.when(KEY % 2 == 0, "20").alias("tax_rate"), F.when(KEY % 2 == 1, "0.2").alias("vat_rate"),
-        F.when(KEY % 2 == 0, messy_date(DAY)).otherwise("soon").alias("date"),
-        F.date_format(DAY, "yyyy-MM-dd").alias("issue_date"),
-        F.when(KEY % 3 != 0, "45").alias("payment_terms_days"))
+        F.when(key() % 3 == 0, messy_amount(total())).alias("total_ht"), F.when(key() % 3 == 1, american(total())).alias("subtotal"),
+        F.when(key() % 3 == 2, total().cast("string")).alias("net_amount"),
+        F.when(key() % 2 == 0, "20").alias("tax_rate"), F.when(key() % 2 == 1, "0.2").alias("vat_rate"),
+        F.when(key() % 2 == 0, messy_date(day())).otherwise("soon").alias("date"),
+        F.date_format(day(), "yyyy-MM-dd").alias("issue_date"),
+        F.when(key() % 3 != 0, "45").alias("payment_terms_days"))
     return aliased.select(
         "o_orderkey", records.first_number("total_ht", "subtotal", "net_amount").alias("amount"),
         records.as_fraction(records.first_number("tax_rate", "vat_rate")).alias("rate"),
@@ -300,8 +309,8 @@ SELECT o_orderkey, CASE o_orderkey % 3 WHEN 1 THEN {exact(f"{PRICE}::DOUBLE / (1
             WHEN 1 THEN {exact(f"{PRICE}::DOUBLE - {exact(f'{PRICE}::DOUBLE / (1 + 0.2::DOUBLE)')}")}
             ELSE 7.0 END::DOUBLE AS tax FROM orders""", finance=False)
 def _(t):
-    total = TOTAL.cast("double")
-    ht, ttc = F.when(KEY % 3 != 1, total), F.when(KEY % 3 == 1, total).when(KEY % 3 == 2, (TOTAL + 7).cast("double"))
+    given = total().cast("double")
+    ht, ttc = F.when(key() % 3 != 1, given), F.when(key() % 3 == 1, given).when(key() % 3 == 2, (total() + 7).cast("double"))
     full = amounts.complete_totals(ht, F.lit(0.2), ttc, F.lit(0.0))
     return orders(t).select("o_orderkey", full.alias("t")).select("o_orderkey", "t.*")
 
@@ -319,7 +328,7 @@ def quarter_sheet(t: Tables):
     """A budget sheet as finance teams keep it: accented headers, messy text, quarters."""
     seg = t.read("customer").select("c_custkey", "c_mktsegment")
     q = F.quarter("o_orderdate")
-    sums = [F.sum(F.when(q == i, TOTAL)).alias(f"s{i}") for i in range(1, 5)]
+    sums = [F.sum(F.when(q == i, total())).alias(f"s{i}") for i in range(1, 5)]
     rows = (
         t.read("orders").join(seg, F.col("o_custkey") == F.col("c_custkey"))
         .groupBy("c_mktsegment", F.year("o_orderdate").alias("y"), "o_orderpriority")
@@ -358,8 +367,8 @@ def _(t):
 @query("header_row", "SELECT o_orderkey, (o_orderkey % 4)::BIGINT AS header_row FROM orders", finance=False)
 def _(t):
     """Text tables with none to three title lines above the header."""
-    titles = F.array_repeat(F.lit("Grand livre;exercice en cours"), (KEY % 4).cast("int"))
-    row = F.concat_ws(";", F.date_format(DAY, "dd/MM/yyyy"), F.lit("601"), TOTAL.cast("string"))
+    titles = F.array_repeat(F.lit("Grand livre;exercice en cours"), (key() % 4).cast("int"))
+    row = F.concat_ws(";", F.date_format(day(), "dd/MM/yyyy"), F.lit("601"), total().cast("string"))
     text = F.array_join(F.concat(titles, F.array(F.lit("Période;Compte;Montant total"), row, row)), "\n")
     return edge(sheets.header_row(orders(t).select("o_orderkey", text.alias("text")), "o_orderkey", "text"))
 
