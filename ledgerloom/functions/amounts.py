@@ -105,7 +105,7 @@ def complete_totals(ht: Column, rate: Column, ttc: Column, tax: Column) -> Colum
 
 def first_match(text: Column, patterns: list[str], group: int = 1) -> Column:
     """The group of the first pattern that matches; null when none does."""
-    return F.coalesce(*[F.nullif(F.regexp_extract(text, p, group), F.lit("")) for p in patterns])
+    return F.coalesce(*[let(F.regexp_extract(text, p, group), lambda x: F.when(x != "", x)) for p in patterns])
 
 
 def extract_amounts(c: Column | str) -> Column:

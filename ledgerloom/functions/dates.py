@@ -23,31 +23,24 @@ DATE_PATTERN = (r"(?U)\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}|\d
 
 def ymd(y: Column, m: Column, d: Column) -> Column:
     """A date from year, month and day; null when there is no such day."""
-    parts = [F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0")]
-    return F.try_to_date(F.concat(parts[0], F.lit("-"), parts[1], F.lit("-"), parts[2]), "yyyy-MM-dd")
+    dash = F.lit("-")
+    return F.try_to_date(F.concat(y, dash, m, dash, d), "y-M-d")
 
 
-def _century(two: Column) -> Column:
-    """Two digits: 69-99 belong to the 1900s, the rest to the 2000s."""
-    n = two.try_cast("int")
-    return F.when(n >= 69, n + 1900).otherwise(n + 2000)
+def _month_number(name: Column, numbers: dict[str, int]) -> Column:
+    table = ", ".join(f"'{n}', {i}" for n, i in numbers.items())
+    return F.try_element_at(F.expr(f"map({table})"), name)
 
 
 def _english_month(name: Column) -> Column:
-    out = None
-    for i, m in enumerate(ENGLISH, 1):
-        hit = (name == m) | (name == m[:3])
-        out = F.when(hit, i) if out is None else out.when(hit, i)
-    return out
+    full = {m: i for i, m in enumerate(ENGLISH, 1)}
+    return _month_number(name, full | {m[:3]: i for m, i in full.items()})
 
 
 def _french_month(lower: Column) -> Column:
+    """The month whose name stands anywhere in the text."""
     names = {m: i for i, m in enumerate(FRENCH, 1)} | FRENCH_SHORT
-    out = None
-    for name, i in names.items():
-        hit = lower.contains(name)
-        out = F.when(hit, i) if out is None else out.when(hit, i)
-    return out
+    return _month_number(F.regexp_extract(lower, "(" + "|".join(names) + ")", 1), names)
 
 
 def _groups(text: Column, pattern: str, n: int, build) -> Column:
@@ -59,13 +52,18 @@ def parse_date(c: Column | str, prefer_european: bool = True) -> Column:
     """ISO, dotted, slashed, dashed and written dates in English and French.
 
     A slashed date is read day first (or month first) and turned round when the
-    month would be above 12.
+    month would be above 12. Two-digit years from 69 on belong to the 1900s.
     """
 
-    def slashed(a: Column, b: Column, y: Column) -> Column:
-        d, m = (a, b) if prefer_european else (b, a)
-        turned = (m.cast("int") > 12) & (d.cast("int") <= 12)
-        return ymd(y, F.when(turned, d).otherwise(m), F.when(turned, m).otherwise(d))
+    def iso(y: Column, _: Column, m: Column, d: Column) -> Column:
+        return ymd(y, m, d)
+
+    def numeric(a: Column, sign: Column, b: Column, y: Column) -> Column:
+        year = F.when(F.length(y) == 4, y).when(y >= "69", F.concat(F.lit("19"), y)).otherwise(F.concat(F.lit("20"), y))
+        month, other = (b, a) if prefer_european else (a, b)
+        turned = (month > "12") & (other <= "12")
+        slashed = F.when(turned, ymd(year, other, month)).otherwise(ymd(year, month, other))
+        return F.when(sign == "/", slashed).otherwise(ymd(year, b, a))
 
     def french(text: Column) -> Column:
         def build(n: Column) -> Column:
@@ -78,13 +76,8 @@ def parse_date(c: Column | str, prefer_european: bool = True) -> Column:
 
     def read(text: Column) -> Column:
         return F.coalesce(
-            _groups(text, r"^(\d{4})-(\d{2})-(\d{2})$", 3, ymd),
-            _groups(text, r"^(\d{2})/(\d{2})/(\d{4})$", 3, slashed),
-            _groups(text, r"^(\d{2})\.(\d{2})\.(\d{4})$", 3, lambda d, m, y: ymd(y, m, d)),
-            _groups(text, r"^(\d{2})-(\d{2})-(\d{4})$", 3, lambda d, m, y: ymd(y, m, d)),
-            _groups(text, r"^(\d{4})/(\d{2})/(\d{2})$", 3, ymd),
-            _groups(text, r"^(\d{2})\.(\d{2})\.(\d{2})$", 3, lambda d, m, y: ymd(_century(y), m, d)),
-            _groups(text, r"^(\d{2})-(\d{2})-(\d{2})$", 3, lambda d, m, y: ymd(_century(y), m, d)),
+            _groups(text, r"^(\d{4})([-/])(\d{2})\2(\d{2})$", 4, iso),
+            _groups(text, r"^(\d{2})([./-])(\d{2})\2(\d{4}|(?<=[.-])\d{2})$", 4, numeric),
             _groups(text, r"^([a-z]+) (\d{1,2}), (\d{4})$", 3, lambda m, d, y: ymd(y, _english_month(m), d)),
             _groups(text, r"^(\d{1,2}) ([a-z]+) (\d{4})$", 3, lambda d, m, y: ymd(y, _english_month(m), d)),
             F.when(text.rlike(r"[a-z]"), french(text)),

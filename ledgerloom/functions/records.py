@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.bind import let
 from ledgerloom.functions.amounts import complete_totals, detect_currency, parse_number
 from ledgerloom.functions.dates import parse_date
 
@@ -84,27 +85,34 @@ def _opened(c: Column, fields: list[str]) -> Column:
     return F.from_json(F.when(_is_object(c), c), _struct(fields))
 
 
+def _party_name(c: Column, o: Column) -> Column:
+    return F.coalesce(F.when(~_is_object(c), F.nullif(c, F.lit(""))),
+                      first_text(o["name"], o["company_name"]), F.lit("UNKNOWN"))
+
+
 def party(c: Column) -> Column:
     """Vendor or client, given as a name or as an object, as one struct."""
-    o = _opened(c, PARTY_FIELDS)
-    name = F.coalesce(F.when(~_is_object(c), F.nullif(c, F.lit(""))),
-                      first_text(o["name"], o["company_name"]), F.lit("UNKNOWN"))
-    return F.struct(name.alias("name"), o["address"].alias("address"),
-                    first_text(o["siret"], o["company_id"]).alias("siret"),
-                    first_text(o["vat_number"], o["tva"]).alias("vat_number"))
+
+    def build(x: Column) -> Column:
+        o = x["o"]
+        return F.struct(_party_name(x["c"], o).alias("name"), o["address"].alias("address"),
+                        first_text(o["siret"], o["company_id"]).alias("siret"),
+                        first_text(o["vat_number"], o["tva"]).alias("vat_number"))
+
+    return let(F.struct(c.alias("c"), _opened(c, PARTY_FIELDS).alias("o")), build)
 
 
 def parties(c: Column) -> Column:
     """Signing parties with their roles; a bare name has the role UNKNOWN."""
 
-    def one(p: Column) -> Column:
-        o = _opened(p, PARTY_FIELDS)
-        name = F.coalesce(F.when(~_is_object(p), p), first_text(o["name"], o["company_name"]), F.lit("UNKNOWN"))
-        return F.struct(name.alias("name"), F.upper(F.coalesce(o["role"], F.lit("UNKNOWN"))).alias("role"),
+    def build(x: Column) -> Column:
+        o = x["o"]
+        return F.struct(_party_name(x["c"], o).alias("name"), F.upper(F.coalesce(o["role"], F.lit("UNKNOWN"))).alias("role"),
                         o["address"].alias("address"),
                         first_text(o["representative"], o["signatory"]).alias("representative"))
 
-    return F.transform(c, one)
+    opened = F.transform(c, lambda p: F.struct(p.alias("c"), _opened(p, PARTY_FIELDS).alias("o")))
+    return F.transform(opened, build)
 
 
 def provider(parties_col: Column, vendor: Column) -> Column:
@@ -115,27 +123,31 @@ def provider(parties_col: Column, vendor: Column) -> Column:
 
 
 def clauses(c: Column) -> Column:
-    def one(x: Column) -> Column:
-        o = _opened(x, CLAUSE_FIELDS)
-        text = F.coalesce(F.when(~_is_object(x), x), first_text(o["description"], o["text"]),
+    """Clauses with type, description and value; a bare text is of type GENERAL."""
+
+    def build(x: Column) -> Column:
+        o = x["o"]
+        text = F.coalesce(F.when(~_is_object(x["c"]), x["c"]), first_text(o["description"], o["text"]),
                           F.lit("NO DESCRIPTION"))
         return F.struct(F.upper(F.coalesce(o["type"], F.lit("GENERAL"))).alias("type"), text.alias("description"),
                         o["value"].alias("value"))
 
-    return F.transform(c, one)
+    opened = F.transform(c, lambda x: F.struct(x.alias("c"), _opened(x, CLAUSE_FIELDS).alias("o")))
+    return F.transform(opened, build)
 
 
 def items(c: Column) -> Column:
     """Line items with numbers read and a missing total worked out."""
 
-    def one(x: Column) -> Column:
-        quantity = first_number(x["quantity"], x["qty"], default=1.0)
-        price = first_number(x["unit_price"], x["price"], x["rate"])
-        total = F.coalesce(first_number(x["total"], x["amount"], x["subtotal"]), quantity * price)
+    def read(x: Column) -> Column:
         return F.struct(first_text(x["description"], x["label"], default="NO DESCRIPTION").alias("description"),
-                        quantity.alias("quantity"), price.alias("unit_price"), total.alias("total"))
+                        first_number(x["quantity"], x["qty"], default=1.0).alias("quantity"),
+                        first_number(x["unit_price"], x["price"], x["rate"]).alias("unit_price"),
+                        first_number(x["total"], x["amount"], x["subtotal"]).alias("total"))
 
-    return F.transform(c, one)
+    return F.transform(F.transform(c, read), lambda i: F.struct(
+        i["description"].alias("description"), i["quantity"].alias("quantity"), i["unit_price"].alias("unit_price"),
+        F.coalesce(i["total"], i["quantity"] * i["unit_price"]).alias("total")))
 
 
 def _filled(*cols: str) -> Column:
@@ -182,9 +194,9 @@ def normalise_invoices(raw: DataFrame) -> DataFrame:
 
 def normalise_contracts(raw: DataFrame) -> DataFrame:
     """Canonical contracts from rows of ``CONTRACT_SCHEMA`` plus ``source_file``."""
-    people = parties(_filled("parties", "signatories"))
+    people = F.col("people")
     vendor = party(first_text("vendor"))["name"]
-    return raw.select(
+    return raw.withColumn("people", parties(_filled("parties", "signatories"))).select(
         "source_file",
         first_text("contract_id", "id", "number", default=F.concat(F.lit("CONTRACT_"), file_stem("source_file")))
         .alias("contract_id"),
