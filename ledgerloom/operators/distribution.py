@@ -80,8 +80,7 @@ def summary(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
 
 def tail_risk(df: DataFrame, column: str, confidence: float = 0.95) -> DataFrame:
     """Value at risk and the mean of what lies at or below it."""
-    var = percentiles(df, column, [1 - confidence])
+    limit = percentiles(df, column, [1 - confidence]).toDF("var")
     x = F.col(column).cast("double")
-    limit = var.toDF("var")
-    tail = attach(df.select(x.alias("x")), limit).where(F.col("x") <= F.col("var")).agg(F.avg("x").alias("cvar"))
-    return attach(limit, tail).select("var", F.coalesce("cvar", "var").alias("cvar"))
+    below = attach(df.select(x.alias("x")), limit).where(F.col("x") <= F.col("var"))
+    return below.agg(F.max("var").alias("var"), F.avg("x").alias("cvar"))

@@ -9,9 +9,13 @@ from __future__ import annotations
 
 import datetime as dt
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.sources.shared import written_once
+
 AS_OF = dt.date(2001, 8, 15)
 
 CLAUSE_TYPES = ["price_revision", "penalty", "termination", "exclusivity"]
@@ -28,6 +32,13 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._kept: dict[str, DataFrame] = {}
+
+    def kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table that several parts of one query read: made and written once."""
+        if name not in self._kept:
+            self._kept[name] = written_once(make(), name)
+        return self._kept[name]
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -94,19 +105,19 @@ class Tables:
             .select("contract_id", "type", F.concat(F.lit("Clause "), "type").alias("description"))
         )
 
-    def edges_generates(self) -> DataFrame:
+    def edges_generates(self, invoices: DataFrame | None = None) -> DataFrame:
         from ledgerloom.operators.links import match_by_vendor
 
-        return match_by_vendor(self.contracts(), self.invoices(client=False, paid=False))
+        return match_by_vendor(self.contracts(), invoices or self.invoices(client=False, paid=False))
 
-    def client_contracts(self) -> DataFrame:
+    def client_contracts(self, invoices: DataFrame | None = None) -> DataFrame:
         """Which client signed which contract: seen through the invoices they share."""
         from ledgerloom.operators.links import vendor_key
 
-        pairs = self.invoices(paid=False).where("client IS NOT NULL").select("client", "vendor").distinct()
+        seen = invoices or self.invoices(paid=False)
+        pairs = seen.where("client IS NOT NULL").select("client", vendor_key("vendor").alias("k")).distinct()
         return (
-            pairs.withColumn("k", vendor_key("vendor"))
-            .join(self.contracts().select("contract_id", vendor_key("vendor").alias("k")), "k")
+            pairs.join(self.contracts().select("contract_id", vendor_key("vendor").alias("k")), "k")
             .select("client", "contract_id")
             .distinct()
         )

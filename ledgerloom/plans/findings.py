@@ -17,26 +17,39 @@ def billed(t: Tables):
     return t.invoices(client=False, paid=False)
 
 
+# Everything built on patterns reads invoices and budgets many times over, so
+# these are written once per query, and so are the patterns found in them.
+
+
+def kept_billed(t: Tables):
+    return t.kept("billed", lambda: billed(t).select("invoice_id", "date", "due_date", "vendor", "amount", "status"))
+
+
+def kept_budgets(t: Tables):
+    return t.kept("budgets", t.budgets)
+
+
 def found_patterns(t: Tables):
-    return patterns.detect_patterns(billed(t), t.contracts(), t.budgets(), AS_OF)
+    return t.kept("patterns", lambda: patterns.detect_patterns(kept_billed(t), t.contracts(), kept_budgets(t), AS_OF))
 
 
 def found_signals(t: Tables):
-    return signals.weak_signals(t.budgets(), billed(t), t.contracts(), found_patterns(t), AS_OF)
+    return signals.weak_signals(kept_budgets(t), kept_billed(t), t.contracts(), found_patterns(t), AS_OF)
 
 
 def found_cluster(t: Tables):
-    return signals.cluster(found_signals(t), AS_OF)
+    return t.kept("cluster", lambda: signals.cluster(found_signals(t), AS_OF))
 
 
 def ranked(t: Tables, limit: int = 20):
-    rows = decisions.all_decisions(t.budgets(), billed(t), t.contracts(), found_patterns(t), found_cluster(t), AS_OF)
+    rows = decisions.all_decisions(
+        kept_budgets(t), kept_billed(t), t.contracts(), found_patterns(t), found_cluster(t), AS_OF)
     return decisions.rank_decisions(rows, limit)
 
 
 def recommended(t: Tables):
     return recommendations.recommend(
-        t.budgets(), billed(t), t.contracts(), found_patterns(t), found_cluster(t), AS_OF)
+        kept_budgets(t), kept_billed(t), t.contracts(), found_patterns(t), found_cluster(t), AS_OF)
 
 
 def outcomes(t: Tables):
@@ -271,7 +284,8 @@ SELECT client, round(avg(d), 4) AS avg_delay_days, round(stddev_samp(d), 4) AS d
        min(d)::BIGINT AS min_delay, max(d)::BIGINT AS max_delay, count(*)::BIGINT AS total_invoices
 FROM d GROUP BY client""")
 def _(t):
-    rows = links.payment_patterns(t.client_contracts(), t.edges_generates(), t.invoices(vendor=False, client=False))
+    inv = t.kept("invoices", t.invoices)
+    rows = links.payment_patterns(t.client_contracts(inv), t.edges_generates(inv), inv)
     return edge(rows, avg_delay_days=4, delay_stddev=4)
 
 
@@ -289,8 +303,8 @@ SELECT contract_id, vendor, annual_value::DOUBLE AS annual_value, page::BIGINT A
 FROM y GROUP BY contract_id, vendor, annual_value, page""")
 def _(t):
     """Pages of at most about 50 invoices, shown by their ids, number and sum."""
-    pages = links.contract_with_invoices(
-        t.contracts(), t.edges_generates(), t.invoices(False, False, False), AS_OF, page_size=50)
+    inv = kept_billed(t)
+    pages = links.contract_with_invoices(t.contracts(), t.edges_generates(inv), inv, AS_OF, page_size=50)
     items = F.filter("invoices", lambda x: x.invoice_id.isNotNull())
     total = F.aggregate(items, F.lit(0).cast("decimal(28,2)"),
                         lambda a, x: (a + x.amount).cast("decimal(28,2)"))
@@ -312,7 +326,7 @@ SELECT coalesce(c.vendor, i.vendor) AS vendor, coalesce(c.n, 0)::BIGINT AS contr
        coalesce(i.d, 0)::DOUBLE AS total_invoiced_distinct, coalesce(p.d, '') AS patterns
 FROM c FULL JOIN i ON c.vendor = i.vendor LEFT JOIN p ON p.subject = coalesce(c.vendor, i.vendor)""")
 def _(t):
-    out = links.vendor_summary(t.contracts(), billed(t), found_patterns(t))
+    out = links.vendor_summary(t.contracts(), kept_billed(t), found_patterns(t))
     return edge(out.withColumn("patterns", F.array_join("patterns", "|")))
 
 
@@ -320,7 +334,7 @@ def _(t):
 SELECT contract_id, invoice_id FROM edges_generates e JOIN invoices i USING (invoice_id) WHERE i.status <> 'PAID'""")
 def _(t):
     """Edges of paid invoices are in place already; the rest are missing."""
-    inv = billed(t)
+    inv = kept_billed(t)
     existing = links.match_by_vendor(t.contracts(), inv.where("status = 'PAID'"))
     return links.link_by_vendor(t.contracts(), inv, existing)
 
@@ -337,7 +351,8 @@ def _(t):
     wanted = t.read("lineitem").select(
         F.concat(F.lit("CTR-"), F.col("l_suppkey").cast("string")).alias("contract_id"),
         F.concat(F.lit("INV-"), F.col("l_orderkey").cast("string")).alias("invoice_id"))
-    return links.link_by_id(wanted, t.contracts(), t.invoices(False, False, False), t.edges_generates())
+    inv = kept_billed(t)
+    return links.link_by_id(wanted, t.contracts(), inv, t.edges_generates(inv))
 
 
 @query("vendor_picture", PATTERNS + """
@@ -346,7 +361,7 @@ p AS (SELECT subject, string_agg(DISTINCT type, ',' ORDER BY type) AS d FROM pat
 SELECT vendor, c.contract_id, coalesce(n, 0)::BIGINT AS invoices, coalesce(d, '') AS pattern_types
 FROM contracts c LEFT JOIN n ON c.contract_id = n.contract_id LEFT JOIN p ON subject = vendor""")
 def _(t):
-    out = links.vendor_picture(t.contracts(), t.edges_generates(), found_patterns(t))
+    out = links.vendor_picture(t.contracts(), t.edges_generates(kept_billed(t)), found_patterns(t))
     return edge(out.withColumn("pattern_types", F.array_join("pattern_types", ",")))
 
 
@@ -459,7 +474,7 @@ def _(t):
 SELECT id, category, category = 'cost_reduction' AS acknowledged FROM recs""")
 def _(t):
     """All cost recommendations acknowledged, then generated anew: the flag stays."""
-    fresh = recommended(t)
+    fresh = t.kept("recommendations", lambda: recommended(t))
     stored = lookups.acknowledge(fresh, fresh.where("category = 'cost_reduction'"))
     return recommendations.keep_acknowledged(fresh, stored).select("id", "category", "acknowledged")
 
