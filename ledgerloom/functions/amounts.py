@@ -67,7 +67,7 @@ def detect_currency(c: Column | str) -> Column:
 
 def parse_tax_rate(c: Column | str) -> Column:
     """The first percentage as a fraction."""
-    return F.round(F.regexp_extract(col(c), r"(\d+\.?\d*)\s*%", 1).try_cast("double") / 100, 4)
+    return F.round(F.regexp_extract(col(c), r"(?<!\d)(\d++\.?+\d*+)\s*+%", 1).try_cast("double") / 100, 4)
 
 
 def gross(net: Column, rate: Column) -> Column:

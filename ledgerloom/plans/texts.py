@@ -48,12 +48,19 @@ def invoice_texts(t: Tables):
         F.lit("Paiement: 30 jours fin de mois"),
         F.when(F.col("status") == "PAID", "Réglé").otherwise("unpaid"),
     ]
-    return inv.select("o_orderkey", "invoice_id", "date", due.alias("due_date"), "vendor", "client", "amount", "status",
-                      F.concat_ws("\n", *lines).alias("text"))
+    # texts made from narrow rows sit in the few partitions of the join before; stored texts would not
+    return inv.select("o_orderkey", "invoice_id", F.concat_ws("\n", *lines).alias("text")).repartition("o_orderkey")
+
+
+def spread(texts, key: str):
+    """Shuffle only a scan that has fewer splits than there are cores."""
+    if texts.rdd.getNumPartitions() < texts.sparkSession.sparkContext.defaultParallelism:
+        return texts.repartition(key)
+    return texts
 
 
 def all_texts(t: Tables):
-    docs = t.read("documents").select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("id"), "text")
+    docs = spread(t.read("documents"), "doc_id").select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("id"), "text")
     return docs.unionByName(invoice_texts(t).select(F.col("invoice_id").alias("id"), "text"))
 
 
