@@ -487,7 +487,14 @@ def _(t):
     return metrics.score_histogram(recommended(t))
 
 
-@query("context_lines")
+@query("context_lines", RECOMMENDATIONS + f"""
+SELECT 'decision' AS part, id, concat('[', upper(severity), '] ', title, ' (score: ', {tenth('priority_score')}, ', impact: ',
+       {whole('financial_impact_eur')}, ' EUR) — ', recommended_action) AS line
+FROM (SELECT * FROM ranked ORDER BY priority_score DESC, id LIMIT 5)
+UNION ALL
+SELECT 'recommendation', id, concat('[', category, '] ', title, ' (priority: ', {whole('priority_score')}, '/100, impact: ',
+       {whole('expected_impact_eur')}, ' EUR)')
+FROM (SELECT * FROM recs ORDER BY priority_score DESC, id LIMIT 5)""")
 def _(t):
     """Decisions and recommendations as the lines a reader would be given."""
     d = decisions.decision_lines(ranked(t, 5)).withColumn("part", F.lit("decision"))
