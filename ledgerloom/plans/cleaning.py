@@ -46,7 +46,7 @@ def pick(n: int, *choices):
 
 
 def orders(t: Tables):
-    return t.read("orders")
+    return t.spread("orders", "o_orderkey")
 
 
 def american(c):
@@ -282,7 +282,7 @@ def _(t):
         american(price).alias("unit_price"), F.lit(None).cast("string").alias("price"),
         F.lit(None).cast("string").alias("rate"), F.lit(None).cast("string").alias("total"),
         F.when(~even, american(price + 1)).alias("amount"), F.lit(None).cast("string").alias("subtotal"))
-    out = t.read("lineitem").select("l_orderkey", "l_linenumber", F.inline(records.items(F.array(item))))
+    out = t.spread("lineitem", "l_orderkey").select("l_orderkey", "l_linenumber", F.inline(records.items(F.array(item))))
     return edge(out)
 
 

@@ -43,6 +43,16 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def spread(self, name: str, key: str) -> DataFrame:
+        """A table for row-wise work that costs more than moving the row.
+
+        Only a scan with fewer splits than there are cores is shuffled, to one
+        part per core; a big table has splits enough and stays where it is.
+        """
+        df = self.read(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
     def invoices(self, vendor: bool = True, client: bool = True, paid: bool = True) -> DataFrame:
         orders = self.read("orders")
         day = F.col("o_orderdate").cast("date")

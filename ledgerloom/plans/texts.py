@@ -52,15 +52,8 @@ def invoice_texts(t: Tables):
     return inv.select("o_orderkey", "invoice_id", F.concat_ws("\n", *lines).alias("text")).repartition("o_orderkey")
 
 
-def spread(texts, key: str):
-    """Shuffle only a scan that has fewer splits than there are cores."""
-    if texts.rdd.getNumPartitions() < texts.sparkSession.sparkContext.defaultParallelism:
-        return texts.repartition(key)
-    return texts
-
-
 def all_texts(t: Tables):
-    docs = spread(t.read("documents"), "doc_id").select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("id"), "text")
+    docs = t.spread("documents", "doc_id").select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("id"), "text")
     return docs.unionByName(invoice_texts(t).select(F.col("invoice_id").alias("id"), "text"))
 
 
@@ -181,7 +174,7 @@ def _(t):
                   F.when(even, F.lit("")).otherwise(F.lit("12,50 EUR")))
     blank = F.array(*[F.lit("") for _ in range(4)])
     items = text.table_items(F.array(header, row, blank))
-    return edge(t.read("lineitem").select("l_orderkey", "l_linenumber", F.inline(items)))
+    return edge(t.spread("lineitem", "l_orderkey").select("l_orderkey", "l_linenumber", F.inline(items)))
 
 
 def contract_texts(t: Tables):
