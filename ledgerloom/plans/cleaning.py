@@ -21,8 +21,8 @@ PRICE = "o_totalprice::DECIMAL(18,2)"
 
 
 def exact(x: str, n: int = 2) -> str:
-    """Round half up on the shortest decimal form of a double, as Spark does."""
-    return f"round(({x})::DOUBLE::VARCHAR::DECIMAL(30,12), {n})::DOUBLE"
+    """Round half up on the shortest decimal form of a double, all its digits kept, as Spark does."""
+    return f"round(({x})::DOUBLE::VARCHAR::DECIMAL(38,18), {n})::DOUBLE"
 
 
 def key():
