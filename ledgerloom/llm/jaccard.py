@@ -12,10 +12,11 @@ shingles that a count sketch calls frequent last, which keeps lists short; it
 only shifts cost, never results. Light sets large enough to meet a heavy one are
 listed as well. The boundary is where the cost from the size counts is least.
 
-Lists are resolved without all pairs: members are first compared with one pivot
-per list (several times, with different pivots), linked nodes become components,
-and only members of one list in different components whose sizes allow a link are
-then compared. Every link is checked on whole sets.
+Lists are resolved without all pairs: members are compared with two pivots of the
+list, linked nodes become components, members of lists that still hold several
+are compared with more pivots, and only what then is in different components is
+compared in full. A bound from sizes and listed
+shingles leaves out pairs that cannot link; the others are checked on whole sets.
 
 Defined cases: a null, empty or blank text has the empty set, size 0 and links
 with nothing; fewer than five words form one shingle; a null id neither names a
@@ -25,6 +26,7 @@ null); repeated rows share a node. Shingles are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -32,7 +34,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import common as C
@@ -48,8 +50,8 @@ MOST_LIGHT = 10
 #: Entries a list bucket aims at; shingles estimated above it are dealt over SALTS buckets.
 BUCKET = 1 << 20
 SALTS = 64
-#: Further rounds of one pivot for each list.
-PIVOTS = 2
+#: Rounds that compare members of lists still split with this many pivots of the list.
+ROUNDS, PIVOTS = 2, 16
 
 
 def shingle_sets(texts: C.Texts) -> list[np.ndarray]:
@@ -120,7 +122,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = counts[b * BLOCK: (b + 1) * BLOCK]
         if part.any():
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, k) for k in kinds[:5]] + [pa.array([b], kinds[5]), pa.array([part.tobytes()], kinds[6])], names)
+                [pa.nulls(1, k) for k in kinds[:5]] + [pa.array([b], kinds[5]), pa.array([zlib.compress(part.tobytes(), 1)], kinds[6])], names)
 
 
 def _levels(described: DataFrame) -> np.ndarray:
@@ -128,7 +130,7 @@ def _levels(described: DataFrame) -> np.ndarray:
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(BLOCK, np.int64)
         for part in pdf["counts"]:
-            total += np.frombuffer(part, np.int32)
+            total += np.frombuffer(zlib.decompress(part), np.int32)
         return pd.DataFrame({"block": [pdf["block"].iloc[0]], "counts": [total.tobytes()]})
 
     parts = described.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInPandas(
@@ -179,8 +181,8 @@ def _subset_keys(s: np.ndarray, boundary: int) -> list[np.ndarray]:
 
 
 def _entries(levels, boundary: int, buckets: int):
-    """Signatures of all sets as packed blocks: (bucket, tokens, nodes, sizes)."""
-    names = ["bucket", "tokens", "nodes", "sizes"]
+    """Signatures of all sets as packed blocks: of a bucket the tokens, for each its place among the block's nodes and sizes."""
+    names = ["bucket", "tokens", "which", "nodes", "sizes"]
 
     def flush(tokens, nodes, sizes, salted):
         sizes = np.array(sizes, np.int64)
@@ -194,10 +196,13 @@ def _entries(levels, boundary: int, buckets: int):
         bucket, token, node, size = bucket[order], token[order], node[order], size[order]
         at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         end = np.append(at[1:], len(bucket))
-        spans = list(zip(at.tolist(), end.tolist()))
+        columns = [[], [], [], []]
+        for a, b in zip(at.tolist(), end.tolist()):
+            names_here, where, which = np.unique(node[a:b], return_index=True, return_inverse=True)
+            for column, values in zip(columns, (token[a:b], which.astype(np.uint32), names_here, size[a:b][where])):
+                column.append(values.tobytes())
         return pa.RecordBatch.from_arrays(
-            [pa.array(bucket[at], pa.int64()), *(pa.array([x[a:b].tobytes() for a, b in spans], pa.binary())
-                                                for x in (token, node, size))], names)
+            [pa.array(bucket[at], pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level_of, seen = levels.value, set()
@@ -239,8 +244,8 @@ def _shared(buckets: int):
     """Of one bucket the entries whose token two nodes have; dealt-out lists whole."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         token = np.frombuffer(b"".join(pdf["tokens"]), np.uint64)
-        node = np.frombuffer(b"".join(pdf["nodes"]), np.int64)
-        size = np.frombuffer(b"".join(pdf["sizes"]), np.int32)
+        node, size = (np.concatenate([np.frombuffer(v, kind)[np.frombuffer(w, np.uint32)] for v, w in zip(pdf[c], pdf["which"])])
+                      for c, kind in (("nodes", np.int64), ("sizes", np.int32)))
         order = np.lexsort((node, token))
         token, node, size = token[order], node[order], size[order]
         same = token[1:] == token[:-1]
@@ -255,13 +260,65 @@ def _shared(buckets: int):
 
 # ---------------------------------------------------------------- verification
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for texts in C.text_chunks(batch.column("text")):
-            found = shingle_sets(texts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([node_of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())],
-                ["node", "shingles"])
+def _needed(n: str, m: str) -> str:
+    """Of sets of sizes n and m, the least intersection of a link."""
+    return f"ceil({SHARE} * ({n} + {m}) / {100 + SHARE})"
+
+
+def _plausible(pairs: DataFrame, slim: DataFrame, boundary: int) -> DataFrame:
+    """The pairs whose listed shingles leave room for a link, with both sizes.
+
+    All shingles up to the end of the shorter prefix that two sets share are in
+    both lists; beyond it at most n less the prefix are left. Pairs of light sets
+    are listed by subsets and all stay.
+    """
+    u = slim.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("tokens").alias("tu"))
+    v = slim.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("tokens").alias("tv"))
+    rest = f"greatest(ceil({SHARE} * nu / 100), ceil({SHARE} * nv / 100)) - 1"
+    return pairs.join(u, "u").join(v, "v").where(
+        f"100 * least(nu, nv) >= {SHARE} * greatest(nu, nv) AND (greatest(nu, nv) <= {boundary} OR "
+        f"size(array_intersect(tu, tv)) >= {_needed('nu', 'nv')} - ({rest}))").select("u", "v")
+
+
+def _filter_of(keys: DataFrame, many: int) -> tuple[np.ndarray, int]:
+    """A Bloom filter of two bits a key; its size follows the number of keys up to 2^27 bits."""
+    bits = int(min(max(np.ceil(np.log2(16 * many + 1)), 16), 27))
+    place = F.explode(F.array(*[F.shiftrightunsigned(F.xxhash64("key", F.lit(i)), 64 - bits) for i in (1, 2)]))
+    words = keys.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("m")).toArrow()
+    table = np.zeros(max(1, 2**bits // 64), np.int64)
+    table[words["w"].to_numpy()] = words["m"].to_numpy()
+    return table, bits
+
+
+def _sets(wanted):
+    """(node, shingles) of the rows whose key may be wanted."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = wanted.value
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for name in ("p1", "p2"):
+                p = batch.column(name).to_numpy()
+                keep &= (table[p >> 6] >> (p & 63) & 1).astype(bool)
+            for texts in C.text_chunks(batch.column("text").filter(pa.array(keep))):
+                found = shingle_sets(texts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([node_of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())],
+                    ["node", "shingles"])
+
+    return run
+
+
+def _fetch(documents: DataFrame, info: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, shingles) of the given nodes, from one reading of the texts without shuffling them."""
+    spark = documents.sparkSession
+    keys = info.join(nodes, "node").groupBy("node").agg(F.min("key").alias("key"))
+    many = nodes.count()
+    table, bits = _filter_of(keys.select("key"), many)
+    wanted = spark.sparkContext.broadcast(table)
+    places = [F.shiftrightunsigned(F.xxhash64(F.xxhash64("text"), F.lit(i)), 64 - bits).alias(f"p{i}") for i in (1, 2)]
+    rows = documents.select("text", *places).mapInArrow(_sets(wanted), "node long, shingles binary")
+    return rows.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,6 +355,10 @@ def _pairs(near: DataFrame) -> DataFrame:
     return near.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+
+
 def _open(lists: DataFrame, found: DataFrame) -> DataFrame:
     """The lists with members of several components, each member with its component."""
     member = lists.join(found, "node", "left").select(
@@ -318,38 +379,34 @@ def classes(documents: DataFrame, space: C.Workspace) -> DataFrame:
     entries = info.agg(F.sum(F.col("n") / 4 + 1)).first()[0] or 0
     buckets = max(32, int(entries // BUCKET) + 1)
     packed = documents.select("text").mapInArrow(
-        _entries(levels, boundary, buckets), "bucket long, tokens binary, nodes binary, sizes binary")
+        _entries(levels, boundary, buckets), "bucket long, tokens binary, which binary, nodes binary, sizes binary")
     lists = space.keep(packed.groupBy("bucket").applyInPandas(_shared(buckets), "token long, node long, n int"), "lists")
 
-    wanted = lists.select("node").distinct().join(info.groupBy("node").agg(F.min("key").alias("key")), "node").select("key")
-    sets = space.keep(
-        documents.select(F.xxhash64("text").alias("key"), "text").join(wanted, "key", "left_semi").select("text")
-        .mapInArrow(_sets, "node long, shingles binary").dropDuplicates(["node"]), "sets")
+    slim = space.keep(lists.groupBy("node").agg(F.collect_list("token").alias("tokens"), F.max("n").alias("n")), "slim")
 
-    # every member against two pivots of its list
+    # every member of a list against two pivots of it
     first = lists.groupBy("token").agg(F.min("node").alias("v"), F.max("node").alias("w"))
     near = lists.join(first, "token").select(F.col("node").alias("u"), F.explode(F.array("v", "w")).alias("v"))
-    links = space.keep(_linked(_pairs(near), sets), "links-0")
-    found = space.keep(components(links, space, "c0"), "found-0")
-    still = _open(lists, found)
-    # lists that still have several components: every member against one more pivot, of another component
-    for step in range(1, PIVOTS + 1):
-        still = space.keep(still, f"open-{step}")
-        pivot = still.groupBy("token").agg(F.min(F.xxhash64("node", F.lit(step))).alias("least"))
-        pivot = still.join(pivot, "token").where(F.xxhash64("node", F.lit(step)) == F.col("least")).select(
-            "token", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"))
-        near = still.join(pivot, "token").where(f"component <> cv AND {_FITS}").select(F.col("node").alias("u"), "v")
-        links = space.keep(links.unionByName(_linked(_pairs(near), sets)), f"links-{step}")
+    pairs = space.keep(_plausible(_pairs(near), slim, boundary), "pairs-0")
+    sets = space.keep(_fetch(documents, info, _ends(pairs)), "sets-0")
+    links = space.keep(_linked(pairs, sets), "links-0")
+    # of lists with several components, every member against more pivots of other components, at last against all
+    for step in range(1, ROUNDS + 2):
         found = space.keep(components(links, space, f"c{step}"), f"found-{step}")
-        still = _open(still.drop("component"), found)
-    # what is left: members of one list, in different components, of sizes that can link
-    rest = space.keep(still, "open")
-    a = rest.select("token", F.col("node").alias("u"), "n", "component")
-    b = rest.select("token", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"))
-    more = _pairs(a.join(b, "token").where(f"u > v AND component <> cv AND {_FITS}"))
-    late = space.keep(_linked(more, sets), "late")
-    final = space.keep(components(links.unionByName(late), space, "last"), "final")
-    space.drop("lists", "sets", "late", "open", *(f"{n}-{i}" for n in ("links", "found", "open") for i in range(PIVOTS + 1)))
+        rest = space.keep(_open(lists, found), f"open-{step}")
+        other = rest.select("token", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"))
+        if step <= ROUNDS:
+            turn = Window.partitionBy("token").orderBy(F.xxhash64("v", F.lit(step)), "v")
+            other = other.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= PIVOTS).drop("turn")
+        across = rest.join(other, "token").where(f"component <> cv AND {_FITS}" + (" AND node > v" if step > ROUNDS else ""))
+        more = _plausible(_pairs(across.select(F.col("node").alias("u"), "v")), slim, boundary)
+        more = space.keep(more.join(pairs, ["u", "v"], "left_anti"), f"more-{step}")
+        new = space.keep(_fetch(documents, info, _ends(more).join(sets, "node", "left_anti")), f"sets-{step}")
+        sets = sets.unionByName(new)
+        late = space.keep(_linked(more, sets.join(_ends(more), "node", "left_semi")), f"links-{step}")
+        pairs, links = pairs.unionByName(more), links.unionByName(late)
+    final = space.keep(components(links, space, "last"), "final")
+    space.drop("lists", "slim", *(f"{n}-{i}" for n in ("pairs", "more", "sets", "links", "found", "open") for i in range(ROUNDS + 2)))
 
     named = info.join(final, "node", "left").select(
         "doc_id", "key", F.col("n").alias("n_shingles"), "node", F.coalesce("component", "node").alias("component"))
