@@ -51,7 +51,9 @@ MOST_LIGHT = 10
 BUCKET = 1 << 20
 SALTS = 64
 #: Rounds that compare members of lists still split with this many pivots of the list.
-ROUNDS, PIVOTS = 2, 16
+ROUNDS, PIVOTS = 1, 8
+#: Members of a long list that one task compares with as many others.
+TILE = 192
 
 
 def shingle_sets(texts: C.Texts) -> list[np.ndarray]:
@@ -367,6 +369,46 @@ def _open(lists: DataFrame, found: DataFrame) -> DataFrame:
     return member.join(several.select("token"), "token")
 
 
+def _across(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """Pairs (u, v) of one list in different components, of sizes that can link."""
+    v = others.select("token", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"))
+    return rows.join(v, "token").where(f"component <> cv AND {_FITS}").select(F.col("node").alias("u"), "v")
+
+
+def _tiled(rows: DataFrame, slim: DataFrame, boundary: int) -> DataFrame:
+    """The plausible pairs of long lists, tile against tile, each pair in the list of its first common token."""
+    rows = rows.join(slim.select("node", "tokens"), "node").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).select(
+        "token", "node", "n", "component", "tokens", "tile", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        node, n, comp, tile = (pdf[c].to_numpy() for c in ("node", "n", "component", "tile"))
+        counts = pdf["tokens"].map(len).to_numpy()
+        vocabulary, at = np.unique(np.concatenate(pdf["tokens"].to_list()), return_inverse=True)
+        has = np.zeros((len(pdf), len(vocabulary)), np.float32)
+        has[np.repeat(np.arange(len(pdf)), counts), at] = 1
+        here = int(np.searchsorted(vocabulary, pdf["token"].iloc[0]))
+        left = np.flatnonzero(tile == pdf["lo"].iloc[0])
+        right = np.flatnonzero(tile == pdf["hi"].iloc[0])
+        a, b = n[left][:, None].astype(np.int64), n[right][None, :].astype(np.int64)
+        common = (has[left] @ has[right].T).astype(np.int64)
+        large, small = np.maximum(a, b), np.minimum(a, b)
+        needed = -(-SHARE * (a + b) // (100 + SHARE)) - (-(-SHARE * large // 100) - 1)
+        fine = (comp[left][:, None] != comp[right][None, :]) & (100 * small >= SHARE * large)
+        fine &= (large <= boundary) | (common >= needed)
+        if pdf["lo"].iloc[0] == pdf["hi"].iloc[0]:
+            fine &= node[left][:, None] > node[right][None, :]
+        i, j = np.nonzero(fine)
+        keep = np.zeros(len(i), bool)
+        for k in range(0, len(i), 4096):
+            both = has[left[i[k: k + 4096]]] * has[right[j[k: k + 4096]]]
+            keep[k: k + 4096] = both.argmax(1) == here
+        u, v = node[left[i[keep]]], node[right[j[keep]]]
+        return pd.DataFrame({"u": np.maximum(u, v), "v": np.minimum(u, v)})
+
+    return rows.groupBy("token", "lo", "hi").applyInPandas(compare, "u long, v long")
+
+
 def classes(documents: DataFrame, space: C.Workspace) -> DataFrame:
     """(doc_id, key, n_shingles, node, component_id) per row; key is xxhash64 of the text."""
     spark = documents.sparkSession
@@ -394,12 +436,15 @@ def classes(documents: DataFrame, space: C.Workspace) -> DataFrame:
     for step in range(1, ROUNDS + 2):
         found = space.keep(components(links, space, f"c{step}"), f"found-{step}")
         rest = space.keep(_open(lists, found), f"open-{step}")
-        other = rest.select("token", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"))
         if step <= ROUNDS:
-            turn = Window.partitionBy("token").orderBy(F.xxhash64("v", F.lit(step)), "v")
-            other = other.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= PIVOTS).drop("turn")
-        across = rest.join(other, "token").where(f"component <> cv AND {_FITS}" + (" AND node > v" if step > ROUNDS else ""))
-        more = _plausible(_pairs(across.select(F.col("node").alias("u"), "v")), slim, boundary)
+            turn = Window.partitionBy("token").orderBy(F.xxhash64("node", F.lit(step)), "node")
+            pivots = rest.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= PIVOTS)
+            more = _plausible(_pairs(_across(rest, pivots)), slim, boundary)
+        else:
+            sizes = rest.groupBy("token").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
+            short = rest.join(sizes.where("tiles = 1"), "token")
+            more = _plausible(_pairs(_across(short, short).where("u > v")), slim, boundary).unionByName(
+                _tiled(rest.join(sizes.where("tiles > 1"), "token"), slim, boundary)).distinct()
         more = space.keep(more.join(pairs, ["u", "v"], "left_anti"), f"more-{step}")
         new = space.keep(_fetch(documents, info, _ends(more).join(sets, "node", "left_anti")), f"sets-{step}")
         sets = sets.unionByName(new)
