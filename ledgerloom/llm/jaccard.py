@@ -267,19 +267,26 @@ def _needed(n: str, m: str) -> str:
     return f"ceil({SHARE} * ({n} + {m}) / {100 + SHARE})"
 
 
-def _plausible(pairs: DataFrame, slim: DataFrame, boundary: int) -> DataFrame:
-    """The pairs whose listed shingles leave room for a link, with both sizes.
+def _room(common: str) -> str:
+    """Whether ``common`` listed shingles in both leave room for a link of sizes nu and nv.
 
     All shingles up to the end of the shorter prefix that two sets share are in
-    both lists; beyond it at most n less the prefix are left. Pairs of light sets
-    are listed by subsets and all stay.
+    both lists; beyond it at most n less the prefix are left. Light sets are
+    listed by subsets and always have room.
     """
-    u = slim.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("tokens").alias("tu"))
-    v = slim.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("tokens").alias("tv"))
-    rest = f"greatest(ceil({SHARE} * nu / 100), ceil({SHARE} * nv / 100)) - 1"
-    return pairs.join(u, "u").join(v, "v").where(
-        f"100 * least(nu, nv) >= {SHARE} * greatest(nu, nv) AND (greatest(nu, nv) <= {boundary} OR "
-        f"size(array_intersect(tu, tv)) >= {_needed('nu', 'nv')} - ({rest}))").select("u", "v")
+    rest = f"(greatest(ceil({SHARE} * nu / 100), ceil({SHARE} * nv / 100)) - 1)"
+    return (f"100 * least(nu, nv) >= {SHARE} * greatest(nu, nv) AND (greatest(nu, nv) <= {{boundary}} OR "
+            f"{common} >= {_needed('nu', 'nv')} - {rest})")
+
+
+def _plausible(pairs: DataFrame, slim: DataFrame, boundary: int) -> DataFrame:
+    """The pairs whose listed shingles leave room for a link: by how many each has, then by how many both have."""
+    for end in ("u", "v"):
+        pairs = pairs.join(slim.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("m").alias(f"m{end}")), end)
+    pairs = pairs.where(_room("least(mu, mv)").format(boundary=boundary))
+    for end in ("u", "v"):
+        pairs = pairs.join(slim.select(F.col("node").alias(end), F.col("tokens").alias(f"t{end}")), end)
+    return pairs.where(_room("size(array_intersect(tu, tv))").format(boundary=boundary)).select("u", "v")
 
 
 def _filter_of(keys: DataFrame, many: int) -> tuple[np.ndarray, int]:
@@ -375,6 +382,21 @@ def _across(rows: DataFrame, others: DataFrame) -> DataFrame:
     return rows.join(v, "token").where(f"component <> cv AND {_FITS}").select(F.col("node").alias("u"), "v")
 
 
+def _counted(sized: DataFrame, boundary: int) -> DataFrame:
+    """The plausible pairs of short lists: the lists two members share are counted by the join itself.
+
+    Lists of one component hold no pair across components, so what both share is
+    in the short lists, or in the long ones, of which a member's number is known.
+    """
+    long = sized.where("tiles > 1").groupBy("node").agg(F.count("*").alias("far"))
+    short = sized.where("tiles = 1").join(long, "node", "left").withColumn("far", F.coalesce("far", F.lit(0)))
+    u, v = (short.select("token", F.col("node").alias(e), F.col("n").alias(f"n{e}"), F.col("m").alias(f"m{e}"),
+                         F.col("component").alias(f"c{e}"), F.col("far").alias(f"f{e}")) for e in "uv")
+    met = u.join(v, "token").where("u > v AND cu <> cv").where(_room("least(mu, mv)").format(boundary=boundary))
+    counts = met.groupBy("u", "v").agg(F.count("*").alias("both"), *[F.first(c).alias(c) for c in ("nu", "nv", "fu", "fv")])
+    return counts.where(_room("both + least(fu, fv)").format(boundary=boundary)).select("u", "v")
+
+
 def _tiled(rows: DataFrame, slim: DataFrame, boundary: int) -> DataFrame:
     """The plausible pairs of long lists, tile against tile, each pair in the list of its first common token."""
     rows = rows.join(slim.select("node", "tokens"), "node").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles"))
@@ -424,13 +446,14 @@ def classes(documents: DataFrame, space: C.Workspace) -> DataFrame:
         _entries(levels, boundary, buckets), "bucket long, tokens binary, which binary, nodes binary, sizes binary")
     lists = space.keep(packed.groupBy("bucket").applyInPandas(_shared(buckets), "token long, node long, n int"), "lists")
 
-    slim = space.keep(lists.groupBy("node").agg(F.collect_list("token").alias("tokens"), F.max("n").alias("n")), "slim")
+    slim = space.keep(lists.groupBy("node").agg(F.collect_list("token").alias("tokens"), F.max("n").alias("n"), F.count("*").alias("m")), "slim")
 
     # every member of a list against two pivots of it
     first = lists.groupBy("token").agg(F.min("node").alias("v"), F.max("node").alias("w"))
     near = lists.join(first, "token").select(F.col("node").alias("u"), F.explode(F.array("v", "w")).alias("v"))
     pairs = space.keep(_plausible(_pairs(near), slim, boundary), "pairs-0")
-    sets = space.keep(_fetch(documents, info, _ends(pairs)), "sets-0")
+    ends = space.keep(_ends(pairs), "ends-0")
+    sets = space.keep(_fetch(documents, info, ends), "sets-0")
     links = space.keep(_linked(pairs, sets), "links-0")
     # of lists with several components, every member against more pivots of other components, at last against all
     for step in range(1, ROUNDS + 2):
@@ -442,16 +465,17 @@ def classes(documents: DataFrame, space: C.Workspace) -> DataFrame:
             more = _plausible(_pairs(_across(rest, pivots)), slim, boundary)
         else:
             sizes = rest.groupBy("token").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
-            short = rest.join(sizes.where("tiles = 1"), "token")
-            more = _plausible(_pairs(_across(short, short).where("u > v")), slim, boundary).unionByName(
-                _tiled(rest.join(sizes.where("tiles > 1"), "token"), slim, boundary)).distinct()
+            sized = space.keep(rest.join(sizes, "token").join(slim.select("node", "m"), "node"), "sized")
+            more = space.keep(_counted(sized, boundary).unionByName(
+                _tiled(sized.where("tiles > 1").drop("m"), slim, boundary)).distinct(), "counted")
         more = space.keep(more.join(pairs, ["u", "v"], "left_anti"), f"more-{step}")
-        new = space.keep(_fetch(documents, info, _ends(more).join(sets, "node", "left_anti")), f"sets-{step}")
-        sets = sets.unionByName(new)
-        late = space.keep(_linked(more, sets.join(_ends(more), "node", "left_semi")), f"links-{step}")
+        ends = space.keep(_ends(more), f"ends-{step}")
+        missing = space.keep(ends.join(sets.select("node"), "node", "left_anti"), f"missing-{step}")
+        sets = sets.unionByName(space.keep(_fetch(documents, info, missing), f"sets-{step}"))
+        late = space.keep(_linked(more, sets.join(ends, "node", "left_semi")), f"links-{step}")
         pairs, links = pairs.unionByName(more), links.unionByName(late)
     final = space.keep(components(links, space, "last"), "final")
-    space.drop("lists", "slim", *(f"{n}-{i}" for n in ("pairs", "more", "sets", "links", "found", "open") for i in range(ROUNDS + 2)))
+    space.drop("lists", "slim", "sized", "counted", *(f"{n}-{i}" for n in ("pairs", "more", "ends", "missing", "sets", "links", "found", "open") for i in range(ROUNDS + 2)))
 
     named = info.join(final, "node", "left").select(
         "doc_id", "key", F.col("n").alias("n_shingles"), "node", F.coalesce("component", "node").alias("component"))
