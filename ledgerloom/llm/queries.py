@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, decontaminate, jaccard, language, lines, mixing, neighbours, quality, shards
+from ledgerloom.llm import chat, decontaminate, jaccard, language, lines, mixing, neighbours, quality, scoring, shards
 from ledgerloom.llm.common import Workspace, remainder, ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,6 +116,15 @@ def op6(spark, sf_dir):
         "doc_id", "n_shingles", "component_id")
 
 
+@query("op7_lm_scores")
+def op7(spark, sf_dir):
+    """The log probability of every document under the attention model, and under the word model."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = remainder("doc_id", 5) == 1
+    return scoring.scores(docs, ~held, Workspace(spark, "op7")).select(
+        "doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op8_line_spread", f"""
 WITH l AS (SELECT doc_id, coalesce(source, '?') AS site, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
 u AS (SELECT doc_id, site, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM l),
