@@ -24,7 +24,7 @@ from ledgerloom.llm import common as C
 
 BITS = 18
 #: The classifier is fitted on at most this many labelled rows, those with the smallest hash of the id.
-TRAIN_ROWS = 8000
+TRAIN_ROWS = 3000
 EPOCHS = 6
 THRESHOLD = 0.7
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 1.0
@@ -132,8 +132,9 @@ def train(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS)
     model = Ftrl()
     if not cases:
         return model.weights()
-    cases = [(float(y), np.append(np.frombuffer(a, np.int32), 2**BITS), np.append(np.frombuffer(v, np.float32), 1.0))
-             for y, a, v in cases]
+    del features
+    cases = [(float(y), np.append(np.frombuffer(a, np.int32), np.int32(2**BITS)),
+              np.append(np.frombuffer(v, np.float32), np.float32(1))) for y, a, v in cases]
     random = np.random.default_rng(7)
     for _ in range(EPOCHS):
         for i in random.permutation(len(cases)):
