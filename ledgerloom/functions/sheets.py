@@ -82,11 +82,10 @@ def budget_rows(sheet: DataFrame, default_year: int = 2024) -> DataFrame:
         F.col("budget"), spent.alias("actual"), F.round(spent - F.col("budget"), 2).alias("variance"))
 
 
-def header_row(texts: DataFrame, id_column: str, text_column: str, separator: str = ";",
-               rows_to_check: int = 10) -> DataFrame:
-    """Index of the first row, among the first ten, where two cells name a column."""
+def header_row(texts: DataFrame, id_column: str, text_column: str, separator: str = ";") -> DataFrame:
+    """Index of the first row where two cells name a column."""
     words = "|".join(HEADER_WORDS)
-    row = F.posexplode(F.slice(F.split(text_column, "\n"), 1, rows_to_check)).alias("row", "line")
+    row = F.posexplode(F.split(text_column, "\n")).alias("row", "line")
     cells = F.split(F.translate(F.lower("line"), *ACCENTS), separator)
     hits = F.size(F.filter(cells, lambda c: c.rlike(words)))
     return (

@@ -27,10 +27,13 @@ def append_predictions(stored: DataFrame, new: DataFrame, as_of: dt.date) -> Dat
 
 
 def resolve(predictions: DataFrame, actuals: DataFrame) -> DataFrame:
-    """Each prediction with its last reported actual, the error and the re-index flag."""
+    """Each prediction with its last reported actual, the error and the re-index flag.
+
+    A prediction that ``actuals`` does not name keeps the outcome stored before.
+    """
     last = actuals.groupBy(F.col("prediction_id").alias("id")).agg(
-        F.max_by("actual_value", "seq").alias("actual_value"))
-    joined = predictions.drop("actual_value").join(last, "id", "left")
+        F.max_by("actual_value", "seq").alias("_reported"))
+    joined = predictions.join(last, "id", "left").withColumn("actual_value", F.coalesce("_reported", "actual_value"))
     err = error_pct(F.col("predicted_value"), F.col("actual_value"))
     return joined.select(
         "id", "entity_type", "entity_id", "metric", "predicted_value", "actual_value",

@@ -174,8 +174,7 @@ def risk_context(budgets: DataFrame, invoices: DataFrame, contracts: DataFrame,
         F.count_if(_is_over()).alias("rows_over"),
         _sum0(F.when(_is_over(), F.col("actual") - F.col("budget"))).alias("total_overrun"),
     )
-    late = lookups.overdue_rows(invoices, as_of).withColumn(
-        "days_overdue", F.least("days_overdue", F.lit(lookups.OVERDUE_CAP)))
+    late = lookups.overdue_rows(invoices, as_of)
     i = late.agg(F.count("*").alias("overdue_count"), _sum0("amount").alias("overdue_amount"),
                  F.max("days_overdue").alias("oldest_days"))
     days = F.col("days_until_expiry")

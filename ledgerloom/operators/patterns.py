@@ -61,7 +61,7 @@ def late_payment(invoices: DataFrame, as_of: dt.date) -> DataFrame:
         lookups.overdue_rows(invoices, as_of)
         .groupBy(name_or("vendor", "UNKNOWN").alias("vendor"))
         .agg(F.count("*").alias("n"),
-             F.avg(F.least("days_overdue", F.lit(lookups.OVERDUE_CAP))).alias("days"))
+             F.avg("days_overdue").alias("days"))
         .where("n >= 2 AND days > 30")
     )
     text = F.concat(

@@ -22,7 +22,6 @@ SHOCKS = [("revenue_drop_30", 0.7, 1.0), ("revenue_drop_50", 0.5, 1.0), ("cost_s
 
 # Revenue per unit of budget, by department; 1.0 for any other.
 REVENUE_MULTIPLIERS = {"Marketing": 3.0, "Sales": 5.0, "IT": 0.5, "R&D": 10.0, "HR": 0.3, "Operations": 1.0}
-COST_EFFICIENCY = {"Marketing": 0.8, "Sales": 0.9, "IT": 1.5, "R&D": 0.6, "HR": 1.2, "Operations": 1.3}
 IMMEDIATE = ["Sales", "Operations"]
 GRADUAL = ["Marketing", "R&D"]
 

@@ -67,7 +67,7 @@ def cluster(signals: DataFrame, as_of: dt.date, known: DataFrame | None = None)
         signals.agg(F.sum("weight").alias("score"), F.count("*").alias("signals"),
                     _fingerprint(member).alias("f"))
         .where(F.col("score") >= STRESS_THRESHOLD)
-        .select(F.concat(F.lit("ws_"), F.substring(F.md5("f"), 1, 12)).alias("id"), "score", "signals",
+        .select(F.concat(F.lit("ws_"), F.md5("f")).alias("id"), "score", "signals",
                 F.lit(as_of).alias("detected_at"), F.lit(False).alias("acknowledged"))
     )
     if known is not None:
@@ -76,9 +76,9 @@ def cluster(signals: DataFrame, as_of: dt.date, known: DataFrame | None = None)
 
 
 def list_id(names: Column) -> Column:
-    """``ws_`` and 12 digits of the MD5 of the sorted names as a JSON list."""
+    """``ws_`` and the MD5 of the sorted names as a JSON list."""
     text = F.concat(F.lit('["'), F.array_join(F.sort_array(names), '", "'), F.lit('"]'))
-    return F.concat(F.lit("ws_"), F.substring(F.md5(text), 1, 12))
+    return F.concat(F.lit("ws_"), F.md5(text))
 
 
 def cluster_by_subject(signals: DataFrame, as_of: dt.date) -> DataFrame:

@@ -16,6 +16,7 @@ from ledgerloom.plans.catalog import query
 from ledgerloom.plans.edge import edge
 from ledgerloom.plans.entities import AS_OF, Tables, money
 from ledgerloom.plans.scratch import new_folder
+from ledgerloom.sources import files
 
 PRICE = "o_totalprice::DECIMAL(18,2)"
 
@@ -349,8 +350,7 @@ def _(t):
     folder = new_folder(t.spark, "sheet")
     quarter_sheet(t).write.partitionBy("file").option("header", True).csv(folder)
     names = ["Département", "Catégorie", "Budget Annuel", "Q1", "Q2", "Q3", "Q4"]
-    schema = ", ".join(f"`{n}` string" for n in names) + ", file string"
-    sheet = t.spark.read.schema(schema).option("header", True).csv(folder)
+    sheet = files.read_named_csv(t.spark, folder, names, ["Département", "Budget Annuel"], folders="file string")
     tidy = sheets.tidy_budget_sheet(sheet, source_file="file")
     year = F.regexp_extract("file", r"(\d{4})", 1).cast("bigint").alias("year")
     return tidy.select("department", year, "category", "budget")

@@ -237,7 +237,7 @@ def _(t):
 @query("risk_context", """
 , b AS (SELECT count(*) AS n, count(*) FILTER (actual > budget) AS o,
                sum(CASE WHEN actual > budget THEN actual - budget END) AS t FROM budgets),
-i AS (SELECT count(*) AS n, sum(amount) AS v, max(least(DATE '2001-08-15' - due_date, 365)) AS m FROM invoices
+i AS (SELECT count(*) AS n, sum(amount) AS v, max(DATE '2001-08-15' - due_date) AS m FROM invoices
       WHERE status = 'UNPAID' AND due_date < DATE '2001-08-15'),
 c AS (SELECT count(*) AS n, sum(annual_value) AS v FROM contracts WHERE end_date - DATE '2001-08-15' BETWEEN 1 AND 90)
 SELECT b.n::BIGINT AS budget_rows, o::BIGINT AS rows_over, coalesce(t, 0)::DOUBLE AS total_overrun,

@@ -103,7 +103,10 @@ FROM lineitem"""
 @query("src_ledger_csv", LEDGER_SQL, finance=False)
 def _(t):
     folder = new_folder(t.spark, "ledger")
-    ledger(t).write.option("header", True).csv(folder)
+    rows = ledger(t)
+    half = F.crc32(F.coalesce("reference", F.lit(""))) % 2 == 0
+    rows.where(half).write.option("header", True).csv(folder)
+    rows.where(~half).select(*reversed(rows.columns)).write.mode("append").option("header", True).csv(folder)
     return files.read_ledger(t.spark, folder).drop("account_name", "description")
 
 
@@ -178,9 +181,9 @@ SELECT contract_id, vendor, 'SERVICE' AS type, start_date, coalesce(end_date, DA
 def _(t):
     folder = new_folder(t.spark, "answers")
     answers(t).write.option("header", True).csv(folder)
-    rows = t.spark.read.schema("Filename string, Question string, Answer string, row_no bigint").option(
-        "header", True).option("multiLine", True).csv(folder)
-    return files.contracts_from_answers(rows).select(
+    rows = files.read_named_csv(t.spark, folder, ["Filename", "Question", "Answer", "row_no"], ["Filename", "Question", "Answer"],
+                                multi_line=True)
+    return files.contracts_from_answers(rows.withColumn("row_no", F.col("row_no").cast("bigint"))).select(
         F.regexp_extract("file", r"^(.*)\.pdf$", 1).alias("contract_id"), "vendor", "type", "start_date", "end_date",
         "annual_value", "auto_renewal")
 
@@ -199,9 +202,10 @@ SELECT vendor, 'SERVICE' AS type, start_date, coalesce(end_date, DATE '2026-12-3
        annual_value::DOUBLE AS annual_value, false AS auto_renewal FROM contracts""")
 def _(t):
     folder = new_folder(t.spark, "flat")
-    flat_contracts(t).write.option("header", True).csv(folder)
-    table = t.spark.read.schema("Vendor string, Company string, `Start Date` string, `End Date` string, Amount string, row_no bigint").option(
-        "header", True).csv(folder)
+    rows = flat_contracts(t)
+    rows.where("row_no % 3 = 0").write.option("header", True).csv(folder)
+    rows.where("row_no % 3 <> 0").select(*reversed(rows.columns)).write.mode("append").option("header", True).csv(folder)
+    table = files.read_named_csv(t.spark, folder, rows.columns, ["Vendor", "Amount"])
     return files.contracts_from_flat(table).drop("row_no")
 
 

@@ -52,9 +52,37 @@ def read_entries(spark: SparkSession, path: str, whole_file: bool = True) -> Dat
 LEDGER_COLUMNS = ["date", "account", "account_name", "description", "debit", "credit", "reference"]
 
 
+def read_named_csv(spark: SparkSession, path: str, columns: list[str], required: list[str], folders: str = "",
+                   multi_line: bool = False) -> DataFrame:
+    """CSV files with a header each, columns bound by name, whatever the order in each file.
+
+    A line with all ``required`` names is its file's header; files without one are
+    left out (``split_bad`` is for records). The distinct headers, a handful, come
+    to the driver; each is read once. ``folders`` declares partition columns.
+    """
+    cells = F.transform(F.split(F.regexp_replace("value", '["\ufeff\r]', ""), ","), lambda c: F.trim(c))
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("_file"))
+    named = lines.where(F.size(F.array_intersect(cells, F.array(*[F.lit(c) for c in required]))) == len(required))
+    heads = named.groupBy("_file").agg(F.first("value").alias("_head"))
+    extra = [part.split()[0] for part in folders.split(",") if part]
+    out = None
+    for (head,) in sorted(heads.select("_head").distinct().collect()):
+        names = [c.strip() for c in head.replace('"', "").replace("\ufeff", "").replace("\r", "").split(",")]
+        schema = ", ".join([f"`{i}` string" for i in range(len(names))] + ([folders] if folders else []))
+        raw = spark.read.schema(schema).option("header", True).option("multiLine", multi_line).csv(path)
+        picked = [(F.col(f"`{names.index(c)}`") if c in names else F.lit(None).cast("string")).alias(c) for c in columns]
+        rows = raw.select(*picked, *extra, F.col("_metadata.file_path").alias("_file"))
+        rows = rows.join(heads.where(F.col("_head") == head).select("_file"), "_file", "left_semi").drop("_file")
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        parts = [f"`{c}` string" for c in columns] + ([folders] if folders else [])
+        return spark.createDataFrame([], ", ".join(parts))
+    return out
+
+
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """Ledger CSV: dates and amounts read, empty texts as nulls."""
-    raw = spark.read.schema(", ".join(f"`{c}` string" for c in LEDGER_COLUMNS)).option("header", True).csv(path)
+    """Ledger CSV: dates and amounts read, empty texts as nulls; columns go by their names."""
+    raw = read_named_csv(spark, path, LEDGER_COLUMNS, ["date", "account"])
     return raw.select(
         parse_date("date").alias("date"), "account", "account_name", "description",
         parse_amount("debit").alias("debit"), parse_amount("credit").alias("credit"),
@@ -169,7 +197,7 @@ def contracts_from_flat(table: DataFrame) -> DataFrame:
 
     keep = [c for c in table.columns if c in ("row_no", "source_file")]
     return table.select(
-        *keep, F.coalesce(F.substring(named("vendor", None), 1, 80), F.lit("Unknown Vendor")).alias("vendor"),
+        *keep, F.coalesce(named("vendor", None), F.lit("Unknown Vendor")).alias("vendor"),
         F.lit("SERVICE").alias("type"), norm_date(named("start_date", START_DEFAULT), "mdy").alias("start_date"),
         norm_date(named("end_date", END_DEFAULT), "mdy").alias("end_date"),
         _value(named("annual_value", "0")).alias("annual_value"), F.lit(False).alias("auto_renewal"))

@@ -12,7 +12,6 @@ from tests.conftest import SF  # noqa: E402
 from tools.check_twins import compare, connect  # noqa: E402
 
 NAMES = sorted(entry.queries())
-ONE_PASS = [n for n in NAMES if not n.startswith(("src_", "sink_", "stream_"))]
 MAY_USE_PYTHON = {"fuzzy_duplicates"}
 
 
