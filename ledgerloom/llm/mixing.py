@@ -28,7 +28,7 @@ SEED = "mix-1"
 #: A leaf gives at most this many epochs.
 MOST_EPOCHS = 2
 #: Documents a step of the seeded order aims at.
-STEP_ROWS = 4096
+STEP_ROWS = 1024
 
 
 def n_tokens(text: Column) -> Column:
