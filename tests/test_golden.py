@@ -122,7 +122,7 @@ def test_list_id_is_md5_of_the_sorted_json_list(spark):
     import json
 
     names = ["b:y", "a:x"]
-    want = "ws_" + hashlib.md5(json.dumps(sorted(names)).encode()).hexdigest()[:12]
+    want = "ws_" + hashlib.md5(json.dumps(sorted(names)).encode()).hexdigest()
     assert spark.range(1).select(signals.list_id(F.array(*[F.lit(n) for n in names])).alias("i")).first().i == want
 
 
@@ -133,3 +133,46 @@ def test_negative_total_is_invalid(spark):
     row = quality.validate_invoices(inv).first()
     assert not row.is_valid
     assert {e.code for e in row.errors} == {"missing_vendor", "vendor_name_missing", "negative_ttc"}
+
+
+def test_an_outcome_recorded_once_stays(spark):
+    from ledgerloom.operators import feedback
+
+    stored = spark.createDataFrame([("a", "x", "e", "m", 10.0, 12.0), ("b", "x", "f", "m", 10.0, None), ("c", "x", "g", "m", 10.0, 5.0)],
+                                   "id string, entity_type string, entity_id string, metric string, predicted_value double, actual_value double")
+    new = spark.createDataFrame([("b", 10.5, 1), ("c", 9.0, 1)], "prediction_id string, actual_value double, seq int")
+    got = {r.id: r.actual_value for r in feedback.resolve(stored, new).collect()}
+    assert got == {"a": 12.0, "b": 10.5, "c": 9.0}
+
+
+def test_csv_columns_go_by_name_in_every_file(spark, tmp_path):
+    from ledgerloom.sources import files
+
+    (tmp_path / "a.csv").write_text("date,account,account_name,description,debit,credit,reference\n2024-03-15,601,n,d,5,,r1\n")
+    (tmp_path / "b.csv").write_text("account,credit,date,debit\n707,7.5,2024-03-16,\n")
+    (tmp_path / "c.csv").write_text("no,header,here\n1,2,3\n")
+    got = sorted((r.account, str(r.date), r.debit, r.credit, r.reference) for r in files.read_ledger(spark, str(tmp_path)).collect())
+    assert got == [("601", "2024-03-15", 5.0, None, "r1"), ("707", "2024-03-16", None, 7.5, None)]
+
+
+def test_nothing_is_cut(spark):
+    from ledgerloom.functions import sheets, text
+    from ledgerloom.sources import files
+
+    long = "V" * 200
+    table = spark.createDataFrame([(long,)], "Vendor string")
+    assert files.contracts_from_flat(table).first().vendor == long
+    body = "\n".join(["ab"] * 20 + ["Real Vendor SA", "Client"] + ["x:"] * 15 + ["Far Client GmbH", "Payment terms: " + "t" * 300])
+    row = spark.createDataFrame([(body,)], "t string").select(text.invoice_fields("t").alias("f")).first().f
+    assert row.vendor == "Real Vendor SA" and row.client == "Far Client GmbH" and row.payment_terms == "t" * 300
+    grid = spark.createDataFrame([(1, "title\n" * 25 + "Compte;Montant total;Période")], "i int, t string")
+    assert sheets.header_row(grid, "i", "t").first().header_row == 25
+
+
+def test_contract_dates_in_order_of_priority(spark):
+    from ledgerloom.functions import text
+
+    body = ("Commencement date: March 5, 2024 and effective as of March 1, 2024, payable until June 1, 2024, "
+            "initial term ending December 31, 2025")
+    row = spark.createDataFrame([(body,)], "t string").select(text.contract_fields("t").alias("f")).first().f
+    assert (str(row.start_date), str(row.end_date)) == ("2024-03-01", "2025-12-31")
