@@ -34,5 +34,9 @@ class Encoder:
     def ids(self, text: str) -> np.ndarray:
         return np.array(self._coder.encode_ordinary(text), np.uint16)
 
+    def encoded(self, ids: np.ndarray) -> bytes:
+        """The UTF-8 text that became ``ids``."""
+        return self._coder.decode_bytes(ids.tolist())
+
     def text(self, ids: np.ndarray) -> str:
         return self._coder.decode(ids[ids != self.end].tolist())
