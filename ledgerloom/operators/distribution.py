@@ -2,7 +2,8 @@
 
 Equal values are counted first, on the map side. Counts are then placed in
 buckets by size of value, the bucket totals say which buckets hold the wanted
-ranks, and only those are put in order. No task sees more than one bucket.
+ranks, and only those are put in order. Distinct values within half a percent of
+each other share a bucket, which one task puts in order.
 """
 
 from __future__ import annotations
@@ -13,12 +14,14 @@ from pyspark.sql import functions as F
 from ledgerloom.operators.onerow import attach
 
 STEPS_PER_DOUBLING = 128
+#: The least double is 2^-1074.
+LEAST_DOUBLINGS = 1075
 
 
 def _bucket(v: Column) -> Column:
-    """Grows with the value; about half a percent wide, so at most some 250,000 exist."""
-    size = F.floor(F.log2(1 + F.abs(v)) * STEPS_PER_DOUBLING)
-    return F.when(v < 0, -size).otherwise(size).cast("bigint")
+    """Grows with the value; half a percent wide at every size, small ones too, so at most some 540,000 exist."""
+    size = F.floor((F.log2(F.abs(v)) + LEAST_DOUBLINGS) * STEPS_PER_DOUBLING)
+    return F.when(v == 0, 0).when(v < 0, -size).otherwise(size).cast("bigint")
 
 
 def percentiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import amounts, dates, records, scoring, sheets, text
-from ledgerloom.operators import lookups, metrics, quality, signals
+from ledgerloom.operators import distribution, lookups, metrics, quality, signals
 
 
 def one(spark, value, fn):
@@ -176,3 +176,13 @@ def test_contract_dates_in_order_of_priority(spark):
             "initial term ending December 31, 2025")
     row = spark.createDataFrame([(body,)], "t string").select(text.contract_fields("t").alias("f")).first().f
     assert (str(row.start_date), str(row.end_date)) == ("2024-03-01", "2025-12-31")
+
+
+def test_quantiles_of_small_numbers_use_many_buckets(spark):
+    values = [i / 1e7 for i in range(-2000, 8000)]
+    rows = spark.createDataFrame([(v,) for v in values], "x double")
+    fullest = rows.groupBy(distribution._bucket(F.col("x"))).count().agg(F.max("count")).first()[0]
+    assert fullest < 100
+    got = distribution.percentiles(rows, "x", [0.05, 0.5]).first()
+    assert abs(got["p5"] - (values[499] + (values[500] - values[499]) * 0.95)) < 1e-12
+    assert abs(got["p50"] - (values[4999] + values[5000]) / 2) < 1e-12
