@@ -348,3 +348,22 @@ def test_pipeline_stages(spark):
         assert docs.count() > 0
     slots = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert slots.count() > 0 and {"slot", "doc_ids"} <= set(slots.columns)
+
+
+def leaks(spark, space, items, table):
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    kept = {r.doc_id for r in decontaminate.clean(docs, bench, space).collect()}
+    return {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench, space).collect()}, kept
+
+
+PASSAGE = ("a builder fits 3 doors in every house of the long street before the winter comes and the old carpenter then adds "
+           "3 windows to each of the houses so that light can reach the rooms where children read their books at night")
+
+
+def test_an_edited_number_costs_only_its_windows(spark, space):
+    """One of two equal numbers edited, two numbers made equal: the untouched windows still count."""
+    unequal = PASSAGE.replace("3 windows", "5 windows")
+    table = [(1, "well " + PASSAGE.replace("3 windows", "4 windows")), (2, "so " + unequal.replace("5 windows", "3 windows")), (3, words(60, 5))]
+    assert leaks(spark, space, [(1, PASSAGE)], table[:1] + table[2:]) == ({(1, 1)}, {3})
+    assert leaks(spark, space, [(1, unequal)], table[1:]) == ({(2, 1)}, {3})
