@@ -367,3 +367,14 @@ def test_an_edited_number_costs_only_its_windows(spark, space):
     table = [(1, "well " + PASSAGE.replace("3 windows", "4 windows")), (2, "so " + unequal.replace("5 windows", "3 windows")), (3, words(60, 5))]
     assert leaks(spark, space, [(1, PASSAGE)], table[:1] + table[2:]) == ({(1, 1)}, {3})
     assert leaks(spark, space, [(1, unequal)], table[1:]) == ({(2, 1)}, {3})
+
+
+def test_names_do_not_depend_on_the_surroundings(spark, space):
+    item = ("when the painter Anna met the baker Boris in the town she gave the baker Boris a small basket and the baker Boris "
+            "gave the painter Anna a warm loaf")
+    quiz = "What is the capital of France today"
+    table = [(1, "after 20 minutes London was seen and then " + item), (2, item.lower()), (3, item.upper()),
+             (4, "the quiz asks " + quiz), (5, words(60, 6)),
+             (6, "after 20 minutes London was seen and then " + item.replace("Anna", "Clara"))]
+    found, kept = leaks(spark, space, [(1, item), (2, quiz)], table)
+    assert found == {(1, 1), (2, 1), (3, 1), (4, 2), (6, 1)} and kept == {5}
