@@ -378,3 +378,12 @@ def test_names_do_not_depend_on_the_surroundings(spark, space):
              (6, "after 20 minutes London was seen and then " + item.replace("Anna", "Clara"))]
     found, kept = leaks(spark, space, [(1, item), (2, quiz)], table)
     assert found == {(1, 1), (2, 1), (3, 1), (4, 2), (6, 1)} and kept == {5}
+
+
+def test_no_item_is_left_out(spark, space):
+    sums, chinese = "12 + 5 = 17; 30 - 4 = 26; 8 + 9 = 17", "中国的首都是哪个城市，它有多少人口？"
+    items = [(1, "Capital: Paris"), (2, sums), (None, "an item without an id that is nine words long"), (3, chinese), (4, None), (5, "?!")]
+    table = [(1, "we said capital, paris once"), (2, "now " + sums + " end"), (3, "see an item without an id that is nine words long"),
+             (4, "问题：" + chinese + "请回答"), (5, "paris capital 12 + 5 = 18; 30 - 4 = 26; 8 + 9 = 17"), (6, "中国的城市很多")]
+    found, kept = leaks(spark, space, items, table)
+    assert found == {(1, 1), (2, 2), (3, None), (4, 3)} and kept == {5, 6}
