@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,25 +54,43 @@ def read_entries(spark: SparkSession, path: str, whole_file: bool = True) -> Dat
 LEDGER_COLUMNS = ["date", "account", "account_name", "description", "debit", "credit", "reference"]
 
 
+def _headers(spark: SparkSession, path: str) -> DataFrame:
+    """(_file, _head): the first line of every file that is not blank."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"),
+        F.col("_metadata.file_block_start").alias("_block"))
+    # places grow along a block of a file
+    first = F.min_by("value", F.struct("_block", "_at"))
+    return lines.where(F.trim(F.regexp_replace("value", "[\ufeff\r]", "")) != "").groupBy("_file").agg(first.alias("_head"))
+
+
+def _header_names(head: str) -> list[str]:
+    return [c.strip().lower() for c in next(csv.reader([head.replace("\ufeff", "").replace("\r", "")]))]
+
+
+def _usable(head: str, required: list[str]) -> bool:
+    return any(c.lower() in _header_names(head) for c in required)
+
+
 def read_named_csv(spark: SparkSession, path: str, columns: list[str], required: list[str], folders: str = "",
                    multi_line: bool = False) -> DataFrame:
-    """CSV files with a header each, columns bound by name, whatever the order in each file.
+    """CSV files with a header each, columns bound by name, whatever the order or case in each file.
 
-    A line with all ``required`` names is its file's header; files without one are
-    left out (``split_bad`` is for records). The distinct headers, a handful, come
-    to the driver; each is read once. ``folders`` declares partition columns.
+    A file's first line is its header; columns it lacks are null. Files with none of
+    the ``required`` names are returned by :func:`bad_csv_files`. The distinct headers,
+    a handful, come to the driver; each is read once. ``folders`` declares partition columns.
     """
-    cells = F.transform(F.split(F.regexp_replace("value", '["\ufeff\r]', ""), ","), lambda c: F.trim(c))
-    lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("_file"))
-    named = lines.where(F.size(F.array_intersect(cells, F.array(*[F.lit(c) for c in required]))) == len(required))
-    heads = named.groupBy("_file").agg(F.first("value").alias("_head"))
+    heads = _headers(spark, path)
     extra = [part.split()[0] for part in folders.split(",") if part]
     out = None
     for (head,) in sorted(heads.select("_head").distinct().collect()):
-        names = [c.strip() for c in head.replace('"', "").replace("\ufeff", "").replace("\r", "").split(",")]
+        if not _usable(head, required):
+            continue
+        names = _header_names(head)
         schema = ", ".join([f"`{i}` string" for i in range(len(names))] + ([folders] if folders else []))
-        raw = spark.read.schema(schema).option("header", True).option("multiLine", multi_line).csv(path)
-        picked = [(F.col(f"`{names.index(c)}`") if c in names else F.lit(None).cast("string")).alias(c) for c in columns]
+        raw = spark.read.schema(schema).option("header", True).option("multiLine", multi_line).option(
+            "recursiveFileLookup", not folders).csv(path)
+        picked = [(F.col(f"`{names.index(c.lower())}`") if c.lower() in names else F.lit(None).cast("string")).alias(c) for c in columns]
         rows = raw.select(*picked, *extra, F.col("_metadata.file_path").alias("_file"))
         rows = rows.join(heads.where(F.col("_head") == head).select("_file"), "_file", "left_semi").drop("_file")
         out = rows if out is None else out.unionByName(rows)
@@ -80,6 +100,14 @@ def read_named_csv(spark: SparkSession, path: str, columns: list[str], required:
     return out
 
 
+def bad_csv_files(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
+    """(source_file, header, reason) of the files that :func:`read_named_csv` finds no usable column in."""
+    heads = _headers(spark, path)
+    bad = [head for (head,) in heads.select("_head").distinct().collect() if not _usable(head, required)]
+    return heads.where(F.col("_head").isin(bad)).select(
+        F.col("_file").alias("source_file"), F.col("_head").alias("header"), F.lit("no known column").alias("reason"))
+
+
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """Ledger CSV: dates and amounts read, empty texts as nulls; columns go by their names."""
     raw = read_named_csv(spark, path, LEDGER_COLUMNS, ["date", "account"])
@@ -188,6 +216,9 @@ FLAT_COLUMNS = {
 }
 
 
+FLAT_NAMES = [name for names in FLAT_COLUMNS.values() for name in names]
+
+
 def contracts_from_flat(table: DataFrame) -> DataFrame:
     """Contracts from one row each, under whichever of the known column names exist."""
 

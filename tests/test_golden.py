@@ -186,3 +186,26 @@ def test_quantiles_of_small_numbers_use_many_buckets(spark):
     got = distribution.percentiles(rows, "x", [0.05, 0.5]).first()
     assert abs(got["p5"] - (values[499] + (values[500] - values[499]) * 0.95)) < 1e-12
     assert abs(got["p50"] - (values[4999] + values[5000]) / 2) < 1e-12
+
+
+def test_csv_files_lose_no_rows_for_their_header(spark, tmp_path):
+    """Other known names, other case, missing columns and a data line like a header; a file without known columns is reported."""
+    from ledgerloom.sources import files
+
+    for name, text in {"a": "Party Name,Contract Value\nAcme,EUR 10\n", "b": "COMPANY,annual value\n\"Beta, Ltd\",20\nCompany,Annual Value\n",
+                       "c": "x,y\n1,2\n"}.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    table = files.read_named_csv(spark, str(tmp_path), files.FLAT_NAMES, files.FLAT_NAMES)
+    got = {(r.vendor, r.annual_value) for r in files.contracts_from_flat(table).collect()}
+    assert got == {("Acme", 10.0), ("Beta, Ltd", 20.0), ("Company", 0.0)}
+    bad = files.bad_csv_files(spark, str(tmp_path), files.FLAT_NAMES).collect()
+    assert [(r.source_file[-5:], r.header) for r in bad] == [("c.csv", "x,y")]
+
+
+def test_ledger_with_missing_columns_keeps_its_rows(spark, tmp_path):
+    from ledgerloom.sources import files
+
+    (tmp_path / "l.csv").write_text("Date,Debit\n2024-01-02,5\n")
+    (tmp_path / "m.csv").write_text("Account,Credit\n601,7\n")
+    got = {(str(r.date), r.account, r.debit and float(r.debit), r.credit and float(r.credit)) for r in files.read_ledger(spark, str(tmp_path)).collect()}
+    assert got == {("2024-01-02", None, 5.0, None), ("None", "601", None, 7.0)}
