@@ -221,7 +221,7 @@ def with_copies(t: Tables):
 @query("fuzzy_duplicates")
 def _(t):
     """Near and exact copies among all invoices; tested against all pairs on a fixture."""
-    return edge(duplicates.fuzzy_duplicates(with_copies(t)), similarity=6)
+    return edge(duplicates.fuzzy_duplicates(with_copies(t), by_vendor=True), similarity=6)
 
 
 @query("exact_key_duplicates", """

@@ -65,6 +65,21 @@ def test_fuzzy_duplicates_find_all_pairs(spark, tile):
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+@pytest.mark.parametrize("threshold,tile", [(0.95, 2000), (0.7, 3)])
+def test_fuzzy_duplicates_without_a_common_number(spark, threshold, tile):
+    """Numberless and crossed pairs too, and a lower threshold: as all pairs say."""
+    names = ["Acme Corporation", "Acme Corporatio", "Acne Corp", "Beta Limited", "Zeta Limit", None]
+    days, sums = [None, dt.date(2024, 1, 1), dt.date(2024, 1, 2)], [None, 100.0, 100.4, 250.0]
+    docs = [(i, *d) for i, d in enumerate((n, a, d) for n in names for a in sums for d in days)]
+    df = spark.createDataFrame(docs, "id long, vendor string, amount double, date date")
+    rows = duplicates.fuzzy_duplicates(df, threshold, tile, by_vendor=True).collect()
+    got = {(r.id_a, r.id_b): r.similarity for r in rows}
+    scores = {(a[0], b[0]): similarity(a, b) for i, a in enumerate(docs) for b in docs[i + 1:]}
+    want = {k: v for k, v in scores.items() if v >= threshold}
+    assert len(rows) == len(got) and set(got) == set(want)
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 PLAIN = [
     (r"\b\d{14}\b", 0), (r"\b[A-Z]{2}\d{11}\b", 0),
     (r"\b([A-ZÉÈÊË][A-Za-zéèêëàâùûôîïç\s&-]+)\s+(SA|SARL|SAS|SASU|EURL|SCI)\b", re.IGNORECASE),
