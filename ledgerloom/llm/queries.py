@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, decontaminate, jaccard, language, lines, mixing, neighbours, quality, scoring, shards
+from ledgerloom.llm import chat, decontaminate, jaccard, language, lines, mixing, neighbours, pairs, quality, scoring, shards
 from ledgerloom.llm.common import Workspace, remainder, ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -199,3 +199,13 @@ def op10(spark, sf_dir):
     """How often every document is drawn for the target mixture."""
     return mixing.draw(table(spark, sf_dir, "documents"), domain(), WEIGHTS, Workspace(spark, "op10")).select(
         "doc_id", "domain", "lang", "source", "n_tokens", "copies")
+
+
+@query("op11_byte_pairs")
+def op11(spark, sf_dir):
+    """The subword ids of every document and what they decode to, as digests."""
+    back = pairs.decode(pairs.encode(table(spark, sf_dir, "documents")))
+    return back.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"))
