@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, decontaminate, jaccard, language, lines, mixing, neighbours, pairs, quality, scoring, shards
+from ledgerloom.llm import chat, decontaminate, jaccard, language, lines, mixing, neighbours, pairs, quality, repair, scoring, shards
 from ledgerloom.llm.common import Workspace, remainder, ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,3 +209,59 @@ def op11(spark, sf_dir):
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
         F.sha2("text", 256).alias("decoded_sha256"))
+
+
+# The checksum's table and its run over the characters of a key; insertions that may stand before an edit; then turn by
+# turn the cheapest way to each state (0 nothing, 1 system, 2 user, 3 assistant), and of those the least word.
+_REPAIR = """
+WITH RECURSIVE crc AS (SELECT list(list_reduce([n] || range(8),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS tab FROM range(256) r(n)),
+given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+kinds AS (SELECT given.*, xor(list_reduce([4294967295] || list_transform(string_split(key, ''), lambda c: ascii(c)::BIGINT),
+    lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) % 20 AS kind FROM given, crc),
+damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM kinds, range(2) t(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again FROM damaged),
+rows_ AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN again THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 'truncated' END AS fault,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again) AS i,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again) AS before FROM seen),
+sums AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (i > 1 AND before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM rows_ GROUP BY conv_id),
+put(p, q, k, made) AS (VALUES (0, 0, 0, []), (0, 2, 1, ['user:']), (0, 3, 2, ['user:', 'assistant:']), (0, 2, 3, ['user:', 'assistant:', 'user:']),
+    (1, 1, 0, []), (1, 2, 1, ['user:']), (1, 3, 2, ['user:', 'assistant:']), (1, 2, 3, ['user:', 'assistant:', 'user:']),
+    (2, 2, 0, []), (2, 3, 1, ['assistant:']), (2, 2, 2, ['assistant:', 'user:']), (2, 3, 3, ['assistant:', 'user:', 'assistant:']),
+    (3, 3, 0, []), (3, 2, 1, ['user:']), (3, 3, 2, ['user:', 'assistant:']), (3, 2, 3, ['user:', 'assistant:', 'user:'])),
+edit(letter, price) AS (VALUES ('D', 4), ('K', 0), ('R', 3)),
+best(conv_id, i, state, cost, audit, made) AS (
+  SELECT conv_id, 0::BIGINT, 0, 0::BIGINT, '', []::VARCHAR[] FROM sums
+  UNION ALL (
+    WITH ways AS (
+      SELECT b.conv_id, r.i, b.cost + 3 * k + price + CASE WHEN letter <> 'D' AND fault = 'truncated' THEN 3 ELSE 0 END AS cost,
+        b.audit || repeat('I', k) || letter AS audit,
+        CASE WHEN letter = 'D' THEN q WHEN letter = 'R' THEN CASE q WHEN 2 THEN 3 ELSE 2 END
+          WHEN left(role, 1) = 's' AND q = 0 THEN 1 WHEN left(role, 1) = 'u' AND q <> 2 THEN 2 WHEN left(role, 1) = 'a' AND q = 2 THEN 3 END AS state,
+        list_concat(b.made, list_concat(put.made, CASE letter WHEN 'D' THEN [] WHEN 'K' THEN [role || ':' || text]
+          ELSE [CASE q WHEN 2 THEN 'assistant:' ELSE 'user:' END || text] END)) AS made
+      FROM best b JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.i = b.i + 1 JOIN put ON put.p = b.state, edit
+      WHERE letter = 'D' OR fault IS NULL OR fault = 'truncated')
+    SELECT conv_id, i, state, cost, audit, made FROM ways WHERE state IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY conv_id, i, state ORDER BY cost, audit) = 1)),
+ends AS (SELECT b.conv_id, cost + 3 * k AS cost, audit || repeat('I', k) AS audit, list_concat(b.made, put.made) AS made
+  FROM best b JOIN sums s ON s.conv_id IS NOT DISTINCT FROM b.conv_id AND s.n = b.i JOIN put ON put.p = b.state WHERE put.q IN (0, 3)
+  QUALIFY row_number() OVER (PARTITION BY b.conv_id ORDER BY cost + 3 * k, audit || repeat('I', k)) = 1)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(made, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN sums ON sums.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends ON ends.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+@query("op13_conversation_repair", _REPAIR)
+def op13(spark, sf_dir):
+    """The faults of every damaged conversation, the cheapest repair and a digest of the repaired turns."""
+    return repair.repaired(repair.damaged(table(spark, sf_dir, "conversations")))
