@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, decontaminate, jaccard, language, lines, mixing, neighbours, pairs, quality, repair, scoring, shards
+from ledgerloom.llm import alignment, chat, decontaminate, jaccard, language, lines, mixing, neighbours, pairs, quality, repair, scoring, shards
 from ledgerloom.llm.common import Workspace, remainder, ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -211,6 +211,17 @@ def op11(spark, sf_dir):
         F.sha2("text", 256).alias("decoded_sha256"))
 
 
+@query("op12_alignment")
+def op12(spark, sf_dir):
+    """The aligned groups of two tokenizers in every document, and how common its links are in all of them."""
+    space = Workspace(spark, "op12")
+    rows = alignment.aligned(table(spark, sf_dir, "documents"))
+    digest = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
+    stored = space.keep(rows.withColumn("groups_sha256", F.when(F.col("row").isNotNull(), digest)).drop("groups"), "aligned")
+    return alignment.scored(stored, space).select(
+        F.col("doc_id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 # The checksum's table and its run over the characters of a key; insertions that may stand before an edit; then turn by
 # turn the cheapest way to each state (0 nothing, 1 system, 2 user, 3 assistant), and of those the least word.
 _REPAIR = """
