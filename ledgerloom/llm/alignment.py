@@ -25,6 +25,7 @@ gives no rows. Only doc_id and text are looked at.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -47,6 +48,8 @@ REMEMBERED, HELD = 200_000, 1 << 20
 SENT_PAIRS = 1 << 20
 #: Texts tokenised at once, in bytes, or one longer text.
 STRETCH = 1 << 19
+#: Stretches between spaces tokenised as one text.
+TOGETHER = 2000
 MARK = "\u2581"
 _SINGLE_SPACE = re.compile("(?<=[!-~]) (?=[!-~])")
 
@@ -114,97 +117,138 @@ def pieces(model: bytes) -> Side:
     return Side([entry(name) for name in names], lambda texts: coder.encode(texts, num_threads=1), local)
 
 
-class Tokens:
-    """The ids of whole texts on both sides; stretches between single spaces are tokenised once and remembered."""
+class Remembered:
+    """A dictionary of the latest entries: when ``most`` are in, the older half of them goes."""
 
-    def __init__(self, a: Side, b: Side):
-        self.a, self.b = a, b
-        self.known: dict[str, tuple] = {}
-
-    def of(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of each text that spell a space and the text on both sides, or none."""
-        local = self.a.local and self.b.local
-        cut = [(_SINGLE_SPACE.split(t) if local else [t]) if t else [] for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        fresh = list({s for parts in cut for s in parts if s not in self.known})
-        for s, x, y in zip(fresh, self.a.ids(fresh), self.b.ids(fresh)):
-            spelt = (" " + s).encode()
-            self.known[s] = (x, y, self.a.spells(x, spelt) and self.b.spells(y, spelt))
-        for text, parts in zip(texts, cut):
-            found = [self.known[s] for s in parts]
-            x, y = list(chain.from_iterable([f[0] for f in found])), list(chain.from_iterable([f[1] for f in found]))
-            good = all(f[2] for f in found)
-            if not good:
-                spelt = (" " + text).encode()
-                good = self.a.spells(x, spelt) and self.b.spells(y, spelt)
-            yield (x, y) if good else ([], [])
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most // 2, {}, {}
+
+    def get(self, key):
+        value = self.new.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.new[key] = value
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.most:
+            self.new, self.old = {}, self.new
+        self.new[key] = value
 
 
 # ------------------------------------------------------------------- alignment
 
 class Windows:
-    """What windows say, by the ids of both sides."""
+    """What windows say, by the ids of both sides: (groups, how many, links)."""
 
     def __init__(self, a: Side, b: Side):
         self.a, self.b = a, b
-        self.clear()
-
-    def clear(self) -> None:
-        self.number: dict[tuple, int] = {}
-        self.groups: list[str] = []
-        self.n_groups: list[int] = []
-        self.links: list[np.ndarray] = []
+        self.size_a, self.size_b = a.size.tolist(), b.size.tolist()
+        self.name_a, self.name_b = [str(i) for i in range(len(self.size_a))], [str(i) for i in range(len(self.size_b))]
+        self.known = Remembered(REMEMBERED)
 
-    def _read(self, a: tuple, b: tuple) -> int:
+    def _read(self, a: tuple, b: tuple) -> tuple:
         """Both sides of a window spell the same bytes."""
-        size_a, size_b = self.a.size, self.b.size
-        i = j = end_a = end_b = 0
-        groups, links, in_a, in_b = [], [], [], []
-        end_a, end_b = int(size_a[a[0]]), int(size_b[b[0]])
-        in_a, in_b = [a[0]], [b[0]]
+        size_a, size_b, name_a, name_b = self.size_a, self.size_b, self.name_a, self.name_b
+        if len(a) == 1 or len(b) == 1:  # one group: no end within is shared
+            return ",".join([name_a[i] for i in a]) + "|" + ",".join([name_b[i] for i in b]), 1, [i << 16 | j for i in a for j in b]
+        i = j = first_a = first_b = 0
+        groups, links = [], []
+        end_a, end_b = size_a[a[0]], size_b[b[0]]
         while True:
             links.append(a[i] << 16 | b[j])
-            if end_a == end_b:
-                groups.append(",".join(map(str, in_a)) + "|" + ",".join(map(str, in_b)))
-                i, j = i + 1, j + 1
-                if i == len(a):
-                    break
-                in_a, in_b = [a[i]], [b[j]]
-                end_a, end_b = end_a + int(size_a[a[i]]), end_b + int(size_b[b[j]])
-            elif end_a < end_b:
+            if end_a < end_b:
                 i += 1
-                in_a.append(a[i])
-                end_a += int(size_a[a[i]])
-            else:
+                end_a += size_a[a[i]]
+            elif end_b < end_a:
                 j += 1
-                in_b.append(b[j])
-                end_b += int(size_b[b[j]])
-        self.groups.append(";".join(groups))
-        self.n_groups.append(len(groups))
-        self.links.append(np.array(links, np.uint32))
-        return len(self.groups) - 1
-
-    def of(self, a: list[int], b: list[int]) -> list[int]:
-        """The windows of a text, by number, from its ids on both sides."""
+                end_b += size_b[b[j]]
+            else:
+                i, j = i + 1, j + 1
+                groups.append(",".join([name_a[k] for k in a[first_a:i]]) + "|" + ",".join([name_b[k] for k in b[first_b:j]]))
+                if i == len(a):
+                    return ";".join(groups), len(groups), links
+                first_a, first_b = i, j
+                end_a, end_b = end_a + size_a[a[i]], end_b + size_b[b[j]]
+
+    def of(self, a: list[int], b: list[int]) -> tuple[list[tuple], list[int]]:
+        """The windows of a text from its ids on both sides, and the byte at which each begins."""
         ids_a, ids_b = np.array(a), np.array(b)
-        start_a, start_b = np.cumsum(self.a.size[ids_a]), np.cumsum(self.b.size[ids_b])
-        start_a, start_b = np.append(0, start_a[:-1]), np.append(0, start_b[:-1])
+        end_a, end_b = np.cumsum(self.a.size[ids_a]), np.cumsum(self.b.size[ids_b])
         at_a, at_b = np.flatnonzero(self.a.spaced[ids_a]), np.flatnonzero(self.b.spaced[ids_b])
-        _, i, j = np.intersect1d(start_a[at_a], start_b[at_b], assume_unique=True, return_indices=True)
+        # where a token begins, another has ended; the first ones begin together
+        at_a, at_b = at_a[at_a > 0], at_b[at_b > 0]
+        anchors, i, j = np.intersect1d(end_a[at_a - 1], end_b[at_b - 1], assume_unique=True, return_indices=True)
         cut_a, cut_b = at_a[i].tolist(), at_b[j].tolist()
-        if not cut_a or cut_a[0] != 0:
-            cut_a.insert(0, 0)
-            cut_b.insert(0, 0)
-        number, out = self.number, []
-        for a0, a1, b0, b1 in zip(cut_a, [*cut_a[1:], len(a)], cut_b, [*cut_b[1:], len(b)]):
+        known, out = self.known, []
+        for a0, a1, b0, b1 in zip([0, *cut_a], [*cut_a, len(a)], [0, *cut_b], [*cut_b, len(b)]):
             key = (tuple(a[a0:a1]), tuple(b[b0:b1]))
-            at = number.get(key)
-            if at is None:
-                at = number[key] = self._read(*key)
-            out.append(at)
+            window = known.get(key)
+            if window is None:
+                window = self._read(*key)
+                known.put(key, window)
+            out.append(window)
+        return out, [0, *anchors.tolist()]
+
+
+class Texts:
+    """(ids on side A, ids on side B, windows) of whole texts; what lies between single spaces is worked out once and remembered."""
+
+    def __init__(self, a: Side, b: Side):
+        self.a, self.b, self.local = a, b, a.local and b.local
+        self.windows, self.known = Windows(a, b), Remembered(REMEMBERED)
+
+    def _one(self, text: str, x: list[int], y: list[int]) -> tuple | None:
+        """How many ids and which windows a text has, if both sides spell it."""
+        spelt = (" " + text).encode()
+        if self.a.spells(x, spelt) and self.b.spells(y, spelt):
+            return len(x), len(y), self.windows.of(x, y)[0]
+        return None
+
+    def _together(self, parts: list[str]) -> Iterator[tuple | None]:
+        """The same of texts that single spaces may join: every one begins at an anchor."""
+        joined = " ".join(parts)
+        spelt = (" " + joined).encode()
+        (x,), (y,) = self.a.ids([joined]), self.b.ids([joined])
+        if not (self.a.spells(x, spelt) and self.b.spells(y, spelt)):
+            if len(parts) == 1:
+                yield None
+            else:
+                yield from self._together(parts[: len(parts) // 2])
+                yield from self._together(parts[len(parts) // 2:])
+            return
+        starts = np.cumsum([0, *(len(p.encode()) + 1 for p in parts)])
+        windows, began = self.windows.of(x, y)
+        n_a, n_b = (np.diff(np.searchsorted(np.cumsum(side.size[ids]), starts, "right")).tolist() for side, ids in ((self.a, x), (self.b, y)))
+        cut = np.searchsorted(began, starts).tolist()
+        for i in range(len(parts)):
+            yield n_a[i], n_b[i], windows[cut[i]: cut[i + 1]]
+
+    def _learn(self, fresh: list[str]) -> dict[str, tuple | None]:
+        out = {}
+        plain = [s for s in fresh if self.local and "!" <= s[0] <= "~" and "!" <= s[-1] <= "~"]
+        for first in range(0, len(plain), TOGETHER):
+            some = plain[first: first + TOGETHER]
+            out.update(zip(some, self._together(some)))
+        rest = [s for s in fresh if s not in out]
+        for s, x, y in zip(rest, self.a.ids(rest), self.b.ids(rest)):
+            out[s] = self._one(s, x, y)
         return out
 
+    def of(self, texts: list[str]) -> Iterator[tuple[int, int, list[tuple]]]:
+        """Of each text; zeros and no windows if its ids do not spell a space and the text on both sides."""
+        cut = [(_SINGLE_SPACE.split(t) if self.local else [t]) if t else [] for t in texts]
+        here = {s: self.known.get(s) for s in set(chain.from_iterable(cut))}
+        for s, found in self._learn([s for s, found in here.items() if found is None]).items():
+            here[s] = found
+            if found is not None:
+                self.known.put(s, found)
+        for text, parts in zip(texts, cut):
+            found = [here[s] for s in parts]
+            if None not in found:
+                yield sum([f[0] for f in found]), sum([f[1] for f in found]), list(chain.from_iterable([f[2] for f in found]))
+            else:
+                yield self._one(text, self.a.ids([text])[0], self.b.ids([text])[0]) or (0, 0, [])
+
 
 _NAMES = ["pair", "c", "row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times"]
 _SCHEMA = ("pair long, c long, row long, doc_id {}, n_a long, n_b long, n_groups long, n_links long, groups string,"
@@ -221,31 +265,29 @@ def aligned(documents: DataFrame, a_vocabulary: str = A_VOCABULARY, b_vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = byte_level(models.value[0]), pieces(models.value[1])
-        both, windows = Tokens(a, b), Windows(a, b)
+        both = Texts(a, b)
         row = TaskContext.get().partitionId() << 40
-        held, size = [], 0
-        for batch in batches:
-            kind = batch.column("doc_id").type
-            for first, texts in _stretches(batch.column("text")):
-                done = []
-                for ids_a, ids_b in both.of(texts):
-                    at = windows.of(ids_a, ids_b) if ids_a else []
-                    links = np.concatenate([windows.links[w] for w in at]) if at else np.zeros(0, np.uint32)
-                    pair, times = np.unique(links, return_counts=True)
-                    held.append((pair, times))
-                    size += len(pair)
-                    done.append((row, len(ids_a), len(ids_b), sum(windows.n_groups[w] for w in at), len(links),
-                                 ";".join([windows.groups[w] for w in at]), pair, times))
-                    row += 1
-                yield _text_rows(batch.column("doc_id").slice(first, len(texts)), done)
-                if len(windows.number) > REMEMBERED:
-                    windows.clear()
-                if size > HELD:
+        gc.disable()  # what is remembered has no cycles, and walking through it again and again costs a quarter of the time
+        try:
+            for batch in batches:
+                kind, held, size = batch.column("doc_id").type, [], 0
+                for first, texts in _stretches(batch.column("text")):
+                    done = []
+                    for n_a, n_b, windows in both.of(texts):
+                        links = np.array(list(chain.from_iterable([w[2] for w in windows])), np.int64)
+                        pair, times = np.unique(links, return_counts=True)
+                        held.append((pair, times))
+                        size += len(pair)
+                        done.append((row, n_a, n_b, sum([w[1] for w in windows]), len(links), ";".join([w[0] for w in windows]), pair, times))
+                        row += 1
+                    yield _text_rows(batch.column("doc_id").slice(first, len(texts)), done)
+                    if size > HELD:
+                        yield _count_rows(held, kind)
+                        held, size = [], 0
+                if size:
                     yield _count_rows(held, kind)
-                    held, size = [], 0
-            if size:
-                yield _count_rows(held, kind)
-                held, size = [], 0
+        finally:
+            gc.enable()
 
     return rows.mapInArrow(run, schema)
 
@@ -265,7 +307,7 @@ def _stretches(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).astype(np.int64)))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))
 
 
 def _text_rows(doc_ids: pa.Array, done: list[tuple]) -> pa.RecordBatch:
@@ -280,7 +322,7 @@ def _count_rows(held: list[tuple], doc_id: pa.DataType) -> pa.RecordBatch:
     pair, at = np.unique(np.concatenate([p for p, _ in held]), return_inverse=True)
     n, c = len(pair), np.bincount(at, np.concatenate([t for _, t in held])).astype(np.int64)
     none = [pa.nulls(n, k) for k in (pa.int64(), doc_id, *[pa.int64()] * 4, pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
-    return pa.RecordBatch.from_arrays([pa.array(pair.astype(np.int64)), pa.array(c), *none], _NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(pair), pa.array(c), *none], _NAMES)
 
 
 # ---------------------------------------------------------------------- counts

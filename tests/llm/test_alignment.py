@@ -88,9 +88,9 @@ def test_tokenised_as_they_stand_when_spaces_do_not_separate(tools):
         a, b = alignment.byte_level(first.read()), alignment.pieces(second.read())
     assert a.local and b.local
     texts = [t for t in odd_texts() if t] + ["one two  three, four. 5 six\nseven eight"]
-    cut = list(alignment.Tokens(a, b).of(texts))
+    cut = list(alignment.Texts(a, b).of(texts))
     b.local = False
-    assert cut == list(alignment.Tokens(a, b).of(texts))
+    assert cut == list(alignment.Texts(a, b).of(texts))
 
 
 def test_empty_table(spark):
