@@ -72,7 +72,7 @@ def test_fuzzy_duplicates_without_a_common_number(spark, threshold, tile):
     days, sums = [None, dt.date(2024, 1, 1), dt.date(2024, 1, 2)], [None, 100.0, 100.4, 250.0]
     docs = [(i, *d) for i, d in enumerate((n, a, d) for n in names for a in sums for d in days)]
     df = spark.createDataFrame(docs, "id long, vendor string, amount double, date date")
-    rows = duplicates.fuzzy_duplicates(df, threshold, tile, by_vendor=True).collect()
+    rows = duplicates.fuzzy_duplicates(df, threshold, tile).collect()
     got = {(r.id_a, r.id_b): r.similarity for r in rows}
     scores = {(a[0], b[0]): similarity(a, b) for i, a in enumerate(docs) for b in docs[i + 1:]}
     want = {k: v for k, v in scores.items() if v >= threshold}

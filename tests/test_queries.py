@@ -12,7 +12,7 @@ from tests.conftest import SF  # noqa: E402
 from tools.check_twins import compare, connect  # noqa: E402
 
 NAMES = sorted(entry.queries())
-MAY_USE_PYTHON = {"fuzzy_duplicates"}
+MAY_USE_PYTHON = {"fuzzy_duplicates", "fuzzy_vendor_duplicates"}
 
 
 @pytest.fixture(scope="module")
