@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from ledgerloom.session import checkpoint_dir
 
 CHUNK_BYTES = 1 << 18
+SLICE_ROWS = 1024
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -79,20 +80,21 @@ class Texts:
         return len(self.rows)
 
 
-def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Texts]:
+def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES, slice_rows: int = SLICE_ROWS) -> Iterator[Texts]:
     """The texts of a batch (null: empty) in chunks of about ``limit`` bytes, or one longer text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
-    _, offsets, data = column.buffers()
-    ends = np.frombuffer(offsets, np.int64)[column.offset: column.offset + len(column) + 1]
-    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    first = 0
-    while first < len(column):
-        last = int(np.searchsorted(ends, ends[first] + limit, "right")) - 1
-        last = min(max(last, first + 1), len(column))
-        yield Texts(raw[ends[first]: ends[last]], ends[first: last + 1] - ends[first], range(first, last))
-        first = last
+    for began in range(0, len(column), slice_rows):  # a whole batch is never held twice
+        some = column.slice(began, slice_rows).cast(pa.large_string()).fill_null("")
+        _, offsets, data = some.buffers()
+        ends = np.frombuffer(offsets, np.int64)[some.offset: some.offset + len(some) + 1]
+        raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+        first = 0
+        while first < len(some):
+            last = int(np.searchsorted(ends, ends[first] + limit, "right")) - 1
+            last = min(max(last, first + 1), len(some))
+            yield Texts(raw[ends[first]: ends[last]], ends[first: last + 1] - ends[first], range(began + first, began + last))
+            first = last
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:

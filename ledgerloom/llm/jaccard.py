@@ -32,8 +32,8 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,13 +129,13 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _levels(described: DataFrame) -> np.ndarray:
     """One byte per counter: 0 for ordinary shingles, then the doublings above; +128 where a list is dealt out."""
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+    def add(rows: pa.Table) -> pa.Table:
         total = np.zeros(BLOCK, np.int64)
-        for part in pdf["counts"]:
-            total += np.frombuffer(zlib.decompress(part), np.int32)
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "counts": [total.tobytes()]})
+        for part in rows["counts"]:
+            total += np.frombuffer(zlib.decompress(part.as_buffer()), np.int32)
+        return pa.table({"block": rows["block"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
-    parts = described.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInPandas(
+    parts = described.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(
         add, "block int, counts binary").toArrow()
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     for block, part in zip(parts["block"].to_pylist(), parts["counts"].to_pylist()):
@@ -244,18 +244,20 @@ def _entries(levels, boundary: int, buckets: int):
 
 def _shared(buckets: int):
     """Of one bucket the entries whose token two nodes have; dealt-out lists whole."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        token = np.frombuffer(b"".join(pdf["tokens"]), np.uint64)
-        node, size = (np.concatenate([np.frombuffer(v, kind)[np.frombuffer(w, np.uint32)] for v, w in zip(pdf[c], pdf["which"])])
-                      for c, kind in (("nodes", np.int64), ("sizes", np.int32)))
+    def run(rows: pa.Table) -> pa.Table:
+        def parts(column: str, kind) -> list[np.ndarray]:
+            return [np.frombuffer(v.as_buffer(), kind) for v in rows[column]]
+
+        token, which = np.concatenate(parts("tokens", np.uint64)), parts("which", np.uint32)
+        node, size = (np.concatenate([v[w] for v, w in zip(parts(c, kind), which)]) for c, kind in (("nodes", np.int64), ("sizes", np.int32)))
         order = np.lexsort((node, token))
         token, node, size = token[order], node[order], size[order]
         same = token[1:] == token[:-1]
         fresh = np.append(True, ~(same & (node[1:] == node[:-1])))
         token, node, size = token[fresh], node[fresh], size[fresh]
         same = np.concatenate(([False], token[1:] == token[:-1], [False]))
-        kept = (same[1:] | same[:-1]) if pdf["bucket"].iloc[0] < buckets else np.ones(len(token), bool)
-        return pd.DataFrame({"token": token[kept].view(np.int64), "node": node[kept], "n": size[kept]})
+        kept = (same[1:] | same[:-1]) if rows["bucket"][0].as_py() < buckets else np.ones(len(token), bool)
+        return pa.table({"token": token[kept].view(np.int64), "node": node[kept], "n": size[kept]})
 
     return run
 
@@ -403,22 +405,23 @@ def _tiled(rows: DataFrame, slim: DataFrame, boundary: int) -> DataFrame:
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).select(
         "token", "node", "n", "component", "tokens", "tile", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"))
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        node, n, comp, tile = (pdf[c].to_numpy() for c in ("node", "n", "component", "tile"))
-        counts = pdf["tokens"].map(len).to_numpy()
-        vocabulary, at = np.unique(np.concatenate(pdf["tokens"].to_list()), return_inverse=True)
-        has = np.zeros((len(pdf), len(vocabulary)), np.float32)
-        has[np.repeat(np.arange(len(pdf)), counts), at] = 1
-        here = int(np.searchsorted(vocabulary, pdf["token"].iloc[0]))
-        left = np.flatnonzero(tile == pdf["lo"].iloc[0])
-        right = np.flatnonzero(tile == pdf["hi"].iloc[0])
+    def compare(rows: pa.Table) -> pa.Table:
+        node, n, comp, tile = (rows[c].to_numpy() for c in ("node", "n", "component", "tile"))
+        token, lo, hi = (rows[c][0].as_py() for c in ("token", "lo", "hi"))
+        counts = pc.list_value_length(rows["tokens"]).to_numpy()
+        vocabulary, at = np.unique(pc.list_flatten(rows["tokens"]).to_numpy(), return_inverse=True)
+        has = np.zeros((len(rows), len(vocabulary)), np.float32)
+        has[np.repeat(np.arange(len(rows)), counts), at] = 1
+        here = int(np.searchsorted(vocabulary, token))
+        left = np.flatnonzero(tile == lo)
+        right = np.flatnonzero(tile == hi)
         a, b = n[left][:, None].astype(np.int64), n[right][None, :].astype(np.int64)
         common = (has[left] @ has[right].T).astype(np.int64)
         large, small = np.maximum(a, b), np.minimum(a, b)
         needed = -(-SHARE * (a + b) // (100 + SHARE)) - (-(-SHARE * large // 100) - 1)
         fine = (comp[left][:, None] != comp[right][None, :]) & (100 * small >= SHARE * large)
         fine &= (large <= boundary) | (common >= needed)
-        if pdf["lo"].iloc[0] == pdf["hi"].iloc[0]:
+        if lo == hi:
             fine &= node[left][:, None] > node[right][None, :]
         i, j = np.nonzero(fine)
         keep = np.zeros(len(i), bool)
@@ -426,9 +429,9 @@ def _tiled(rows: DataFrame, slim: DataFrame, boundary: int) -> DataFrame:
             both = has[left[i[k: k + 4096]]] * has[right[j[k: k + 4096]]]
             keep[k: k + 4096] = both.argmax(1) == here
         u, v = node[left[i[keep]]], node[right[j[keep]]]
-        return pd.DataFrame({"u": np.maximum(u, v), "v": np.minimum(u, v)})
+        return pa.table({"u": np.maximum(u, v), "v": np.minimum(u, v)})
 
-    return rows.groupBy("token", "lo", "hi").applyInPandas(compare, "u long, v long")
+    return rows.groupBy("token", "lo", "hi").applyInArrow(compare, "u long, v long")
 
 
 def classes(documents: DataFrame, space: C.Workspace) -> DataFrame:
@@ -444,7 +447,7 @@ def classes(documents: DataFrame, space: C.Workspace) -> DataFrame:
     buckets = max(32, int(entries // BUCKET) + 1)
     packed = documents.select("text").mapInArrow(
         _entries(levels, boundary, buckets), "bucket long, tokens binary, which binary, nodes binary, sizes binary")
-    lists = space.keep(packed.groupBy("bucket").applyInPandas(_shared(buckets), "token long, node long, n int"), "lists")
+    lists = space.keep(packed.groupBy("bucket").applyInArrow(_shared(buckets), "token long, node long, n int"), "lists")
 
     slim = space.keep(lists.groupBy("node").agg(F.collect_list("token").alias("tokens"), F.max("n").alias("n"), F.count("*").alias("m")), "slim")
 
