@@ -17,12 +17,16 @@ def error_pct(predicted: Column, actual: Column) -> Column:
 
 
 def append_predictions(stored: DataFrame, new: DataFrame, as_of: dt.date) -> DataFrame:
-    """Stored predictions and new open ones, whose id is a hash of what they predict."""
+    """Stored predictions and new open ones, whose id is a hash of what they predict.
+
+    A prediction that is stored already, or comes twice, is added once.
+    """
     key = F.concat_ws("|", "entity_type", "entity_id", "metric", F.col("predicted_value").cast("string"),
                       F.lit(str(as_of)))
     fresh = new.select(
         F.md5(key).alias("id"), "entity_type", "entity_id", "metric", "predicted_value",
         F.lit(None).cast(stored.schema["actual_value"].dataType).alias("actual_value"))
+    fresh = fresh.dropDuplicates(["id"]).join(stored.select("id"), "id", "left_anti")
     return stored.select(*fresh.columns).unionByName(fresh)
 
 

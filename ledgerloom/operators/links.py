@@ -83,36 +83,17 @@ def payment_patterns(signed: DataFrame, edges: DataFrame, invoices: DataFrame) -
                         "min_delay", "max_delay", "total_invoices")
 
 
-def contract_with_invoices(contracts: DataFrame, edges: DataFrame, invoices: DataFrame,
-                           as_of: dt.date, page_size: int = 500) -> DataFrame:
-    """Each contract with its invoices as nested lists, in pages.
-
-    One list per contract would put a hot vendor's invoices into a single row,
-    so a contract's invoices are spread over ``ceil(n / page_size)`` pages by a
-    hash of their id. A contract without invoices keeps one page with one
-    all-null entry.
+def contract_with_invoices(contracts: DataFrame, edges: DataFrame, invoices: DataFrame, as_of: dt.date) -> DataFrame:
+    """A row for each contract and invoice; a contract without invoices has one row with nulls.
+
+    The grain is the same for one invoice and for millions; a hot contract is many
+    rows, which nothing collects.
     """
     detail = invoices.select(
         "invoice_id", "amount", "status",
         F.coalesce(F.datediff(F.lit(as_of), F.col("due_date")), F.lit(0)).alias("days_overdue"))
-    pages = edges.groupBy("contract_id").agg(F.ceil(F.count("*") / page_size).alias("pages"))
-    hashed = F.conv(F.substring(F.md5("invoice_id"), 1, 8), 16, 10).cast("bigint")
-    placed = (
-        edges.join(pages, "contract_id")
-        .withColumn("page", F.when(F.col("pages") > 1, hashed % F.col("pages")).otherwise(0))
-        .join(detail, "invoice_id")
-        .groupBy("contract_id", "page")
-        .agg(F.sort_array(F.collect_list(F.struct("invoice_id", "amount", "status", "days_overdue")))
-             .alias("invoices"))
-    )
-    kind = placed.schema["invoices"].dataType
-    empty = F.array(F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in kind.elementType.fields]))
-    return (
-        contracts.select("contract_id", "vendor", "annual_value")
-        .join(placed, "contract_id", "left")
-        .select("contract_id", "vendor", "annual_value", F.coalesce("page", F.lit(0)).alias("page"),
-                F.coalesce("invoices", empty).alias("invoices"))
-    )
+    billed = edges.select("contract_id", "invoice_id").join(detail, "invoice_id")
+    return contracts.select("contract_id", "vendor", "annual_value").join(billed, "contract_id", "left")
 
 
 def vendor_summary(contracts: DataFrame, invoices: DataFrame, patterns: DataFrame) -> DataFrame:

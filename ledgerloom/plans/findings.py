@@ -293,28 +293,13 @@ def _(t):
 
 
 @query("contract_with_invoices", """
-, x AS (SELECT c.contract_id, c.vendor, annual_value, e.invoice_id,
-               ('0x' || substr(md5(e.invoice_id), 1, 8))::BIGINT AS h,
-               ceil(count(e.invoice_id) OVER (PARTITION BY c.contract_id) / 50.0)::BIGINT AS pages
-        FROM contracts c LEFT JOIN edges_generates e ON c.contract_id = e.contract_id),
-y AS (SELECT x.*, CASE WHEN pages > 1 THEN h % pages ELSE 0 END AS page, amount, status,
-             coalesce(DATE '2001-08-15' - due_date, 0) AS days
-      FROM x LEFT JOIN invoices i ON x.invoice_id = i.invoice_id)
-SELECT contract_id, vendor, annual_value::DOUBLE AS annual_value, page::BIGINT AS page,
-       count(invoice_id)::BIGINT AS invoices, coalesce(sum(amount), 0)::DOUBLE AS amount,
-       coalesce(string_agg(invoice_id, ',' ORDER BY invoice_id), '') AS ids
-FROM y GROUP BY contract_id, vendor, annual_value, page""")
+SELECT c.contract_id, c.vendor, annual_value::DOUBLE AS annual_value, i.invoice_id, amount::DOUBLE AS amount, status,
+       CASE WHEN i.invoice_id IS NOT NULL THEN coalesce(DATE '2001-08-15' - due_date, 0) END::BIGINT AS days_overdue
+FROM contracts c LEFT JOIN (edges_generates e JOIN invoices i ON e.invoice_id = i.invoice_id) ON c.contract_id = e.contract_id""")
 def _(t):
-    """Pages of at most about 50 invoices, shown by their ids, number and sum."""
+    """Every contract with every invoice under it."""
     inv = kept_billed(t)
-    pages = links.contract_with_invoices(t.contracts(), t.edges_generates(inv), inv, AS_OF, page_size=50)
-    items = F.filter("invoices", lambda x: x.invoice_id.isNotNull())
-    total = F.aggregate(items, F.lit(0).cast("decimal(28,2)"),
-                        lambda a, x: (a + x.amount).cast("decimal(28,2)"))
-    return edge(pages.select(
-        "contract_id", "vendor", "annual_value", F.col("page").cast("bigint").alias("page"),
-        F.size(items).alias("invoices"), total.alias("amount"),
-        F.array_join(F.transform(items, lambda x: x.invoice_id), ",").alias("ids")))
+    return edge(links.contract_with_invoices(t.contracts(), t.edges_generates(inv), inv, AS_OF))
 
 
 @query("vendor_summary", PATTERNS + """

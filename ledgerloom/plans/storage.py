@@ -16,7 +16,7 @@ from ledgerloom.plans.edge import edge
 from ledgerloom.plans.entities import AS_OF, Tables, money
 from ledgerloom.plans.findings import DAYS, billed, whole
 from ledgerloom.plans.scratch import new_folder
-from ledgerloom.sources import files, sinks
+from ledgerloom.sources import deltas, files, sinks
 from ledgerloom.streaming import events
 
 # ------------------------------------------------------------------ JSON and CSV
@@ -263,16 +263,18 @@ SELECT invoice_id, CASE WHEN o_orderkey % 5 = 0 THEN 'PAID' ELSE status END AS s
        CASE WHEN o_orderkey % 5 = 0 THEN amount + 1 ELSE amount END::DOUBLE AS amount, year(date)::BIGINT AS year,
        CASE WHEN o_orderkey % 5 = 0 THEN 3 ELSE 1 END::BIGINT AS version FROM invoices""")
 def _(t):
-    """A fifth of a stored table changed twice in one delivery; only touched years are rewritten."""
-    table = new_folder(t.spark, "table")
+    """A fifth of a stored table changed twice in one delivery, which comes again; what is shared is compacted."""
     base = t.invoices(False, False, False).select(
         "invoice_id", "status", "amount", F.year("date").cast("bigint").alias("year"), F.lit(1).cast("bigint").alias("version"), "o_orderkey")
-    sinks.upsert(t.spark, table, base.drop("o_orderkey"), ["invoice_id"], ["version"], "year")
+    table = deltas.DeltaTable(t.spark, new_folder(t.spark, "table"), base.drop("o_orderkey").schema, ["invoice_id"], ["version"], buckets=8)
+    table.upsert(base, "stored")
     fifth = base.where("o_orderkey % 5 = 0").drop("o_orderkey").withColumn("status", F.lit("PAID"))
     twice = fifth.withColumn("version", F.lit(2).cast("bigint")).unionByName(
         fifth.withColumn("version", F.lit(3).cast("bigint")).withColumn("amount", (F.col("amount") + 1).cast("decimal(18,2)")))
-    sinks.upsert(t.spark, table, twice, ["invoice_id"], ["version"], "year")
-    return edge(t.spark.read.schema(base.drop("o_orderkey").schema).parquet(table))
+    table.upsert(twice, "changed")
+    table.upsert(twice.withColumn("version", F.lit(9).cast("bigint")), "changed")
+    table.compact()
+    return edge(table.read())
 
 
 @query("scenarios_upsert", """
@@ -360,8 +362,8 @@ def _(t):
     """The last event of every user, kept up to date batch by batch."""
     folder = new_folder(t.spark, "nodes")
     events.run_upsert(event_stream(t).select("user_id", "event_id", "event_type"), f"{folder}/table", f"{folder}/state",
-                      ["user_id"], ["event_id"])
-    return t.spark.read.schema("user_id bigint, event_id bigint, event_type string").parquet(f"{folder}/table")
+                      ["user_id"], ["event_id"], buckets=8)
+    return deltas.DeltaTable(t.spark, f"{folder}/table", "user_id bigint, event_id bigint, event_type string", ["user_id"], ["event_id"]).read()
 
 
 @query("stream_feedback", """
@@ -393,9 +395,9 @@ def _(t):
     stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
 
     def refresh(spark, batch_id):
-        table = spark.read.schema(rows.schema).parquet(f"{folder}/table")
+        table = deltas.DeltaTable(spark, f"{folder}/table", rows.schema, ["invoice_id"], ["due_date"]).read()
         top = decisions.rank_decisions(decisions.invoice_decisions(table, AS_OF))
         top.write.mode("overwrite").parquet(f"{folder}/top")
 
-    events.run_upsert(stream, f"{folder}/table", f"{folder}/state", ["invoice_id"], ["due_date"], refresh)
+    events.run_upsert(stream, f"{folder}/table", f"{folder}/state", ["invoice_id"], ["due_date"], refresh, buckets=8)
     return t.spark.read.schema("id string, priority_score double").parquet(f"{folder}/top")

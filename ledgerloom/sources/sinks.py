@@ -1,14 +1,10 @@
-"""Keyed upserts, partitioned document stores and split-off bad records."""
+"""Merging by key, partitioned document stores and split-off bad records. Stored keyed tables: ``deltas``."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.session import checkpoint_dir
-
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row per key in the given order.
@@ -31,36 +27,6 @@ def merge_latest(stored: DataFrame, new: DataFrame, keys: list[str], version: li
     return latest(tagged, keys, order).drop("_new")
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-
-
-def upsert(spark: SparkSession, path: str, new: DataFrame, keys: list[str], version: list[str] | None = None,
-           partition_by: str | None = None) -> None:
-    """Merge ``new`` into the parquet table at ``path``.
-
-    The merged rows are first written to the shared folder, so the table is never
-    read while it is replaced and a rerun starts from complete data. With
-    ``partition_by`` (a column that follows from the key) only the partitions
-    that ``new`` touches are read and replaced.
-    """
-    fresh = latest(new, keys, [F.desc_nulls_last(v) for v in version or []] or [F.lit(1)])
-    if not exists(spark, path):
-        writer = fresh.write.mode("overwrite")
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-        return
-    stored = spark.read.schema(new.schema).parquet(path).select(*new.columns)
-    if partition_by:
-        stored = stored.join(fresh.select(partition_by).distinct(), partition_by, "left_semi").select(*new.columns)
-    staged = f"{checkpoint_dir(spark).rstrip('/')}/upsert-{uuid.uuid4().hex}"
-    merge_latest(stored, fresh, keys, version).write.parquet(staged)
-    writer = spark.read.schema(new.schema).parquet(staged).write.mode("overwrite")
-    if partition_by:
-        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(partition_by)
-    writer.parquet(path)
-
-
 def save_documents(docs: DataFrame, path: str, form: str = "json") -> None:
     """Processed documents, one folder per ``document_type``."""
     docs.write.mode("append").partitionBy("document_type").format(form).save(path)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.sources.sinks import upsert
+from ledgerloom.sources.deltas import BUCKETS, DeltaTable
 
 LOG_PATTERN = r"^(\S+) (\w+) user=(\d+) type=(\w+) value=(-?[\d.]+)$"
 
@@ -79,14 +79,18 @@ def run_to_files(stream: DataFrame, out: str, checkpoint: str) -> None:
 
 
 def run_upsert(stream: DataFrame, table: str, checkpoint: str, keys: list[str], version: list[str],
-               after: Callable[[SparkSession, int], None] | None = None) -> None:
-    """Merge every batch into the table by key; a replayed batch changes nothing.
+               after: Callable[[SparkSession, int], None] | None = None, buckets: int = BUCKETS, compact_above: int = 8) -> None:
+    """Add every batch to the delta table as a delivery of its own; a replayed batch is in already.
 
-    ``after`` is called when a batch is in, for work on the refreshed table.
+    A batch writes its own rows, whatever the table holds; a bucket is rewritten
+    once more than ``compact_above`` deliveries share it. ``after`` is called when
+    a batch is in, for work on the refreshed table.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        upsert(batch.sparkSession, table, batch, keys, version)
+        held = DeltaTable(batch.sparkSession, table, stream.schema, keys, version, buckets=buckets)
+        held.upsert(batch, f"batch-{batch_id}")
+        held.compact(compact_above)
         if after is not None:
             after(batch.sparkSession, batch_id)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
 from ledgerloom.operators import distribution, duplicates, numbering, vectors
-from ledgerloom.sources import sinks
+from ledgerloom.sources import deltas, sinks
 
 
 def similarity(a, b):
@@ -145,13 +145,13 @@ def test_numbers_have_no_gaps(spark):
 
 
 def test_upsert_twice_is_upsert_once(spark, tmp_path):
-    path = str(tmp_path / "t")
     schema = "id long, v string, version long, part string"
-    sinks.upsert(spark, path, spark.createDataFrame([(i, "a", 1, f"p{i % 3}") for i in range(9)], schema), ["id"], ["version"], "part")
+    table = deltas.DeltaTable(spark, str(tmp_path / "t"), schema, ["id"], ["version"], buckets=4)
+    table.upsert(spark.createDataFrame([(i, "a", 1, f"p{i % 3}") for i in range(9)], schema), "stored")
     change = spark.createDataFrame([(1, "b", 2, "p1"), (1, "old", 0, "p1"), (20, "n", 1, "p2")], schema)
-    for _ in range(2):
-        sinks.upsert(spark, path, change, ["id"], ["version"], "part")
-    rows = {r.id: r.v for r in spark.read.schema(schema).parquet(path).collect()}
+    for turn in range(2):
+        table.upsert(change, f"change {turn}")
+    rows = {r.id: r.v for r in table.read().collect()}
     assert rows == {**{i: "a" for i in range(9)}, 1: "b", 20: "n"}
 
 
@@ -161,15 +161,26 @@ def test_late_version_does_not_win(spark):
     assert sinks.merge_latest(stored, late, ["id"], ["version"]).first().v == "new"
 
 
-def test_pages_hold_every_invoice_once(spark):
+@pytest.mark.parametrize("n", [1, 10000])
+def test_a_contract_has_a_row_for_each_invoice(spark, n):
     from ledgerloom.operators import links
 
-    contracts = spark.sql("SELECT 'C1' contract_id, 'V' vendor, 1 annual_value UNION ALL SELECT 'C2', 'W', 2")
-    inv = spark.range(1000).select(F.concat(F.lit("I"), F.col("id").cast("string")).alias("invoice_id"),
-                                   F.lit(1.0).alias("amount"), F.lit("PAID").alias("status"), F.current_date().alias("due_date"))
-    edges = inv.select(F.lit("C1").alias("contract_id"), "invoice_id")
-    pages = links.contract_with_invoices(contracts, edges, inv, dt.date(2024, 1, 1), page_size=50).collect()
-    seen = [i.invoice_id for p in pages if p.contract_id == "C1" for i in p.invoices]
-    assert len(seen) == len(set(seen)) == 1000
-    assert max(len(p.invoices) for p in pages) < 120
-    assert [p.invoices[0].invoice_id for p in pages if p.contract_id == "C2"] == [None]
+    contracts = spark.createDataFrame([("C1", "v", 5.0), ("C2", "w", 6.0)], "contract_id string, vendor string, annual_value double")
+    inv = spark.range(n).selectExpr("concat('I', id) AS invoice_id", "double(id) AS amount", "'PAID' AS status", "DATE '2023-12-30' AS due_date")
+    edges = inv.selectExpr("'C1' AS contract_id", "invoice_id").unionByName(spark.createDataFrame([("C1", "gone")], "contract_id string, invoice_id string"))
+    rows = links.contract_with_invoices(contracts, edges, inv, dt.date(2024, 1, 1)).collect()
+    assert sorted(r.invoice_id for r in rows if r.contract_id == "C1") == sorted(f"I{i}" for i in range(n))
+    assert {r.days_overdue for r in rows if r.contract_id == "C1"} == {2}
+    assert [tuple(r) for r in rows if r.contract_id == "C2"] == [("C2", "w", 6.0, None, None, None, None)]
+
+
+def test_a_prediction_is_stored_once(spark):
+    from ledgerloom.operators import feedback
+
+    schema = "id string, entity_type string, entity_id string, metric string, predicted_value double, actual_value double"
+    new = spark.createDataFrame([("invoice", "c1", "total", 5.0)] * 2 + [("invoice", "c2", "total", 5.0)],
+                                "entity_type string, entity_id string, metric string, predicted_value double")
+    once = feedback.append_predictions(spark.createDataFrame([("p0", "x", "y", "z", 1.0, 2.0)], schema), new, dt.date(2024, 1, 1))
+    assert once.count() == 3
+    assert sorted(feedback.append_predictions(once, new, dt.date(2024, 1, 1)).collect()) == sorted(once.collect())
+
