@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import records
+from ledgerloom.functions import paths, records
 from ledgerloom.operators import decisions, numbering
 from ledgerloom.plans.catalog import query
 from ledgerloom.plans.cleaning import american, day, exact, key, messy_amount, messy_date, total
@@ -153,6 +153,40 @@ def _(t):
         "document_type").agg(F.count("*").alias("files"))
 
 
+#: Where the layouts of ``mixed_json`` keep their fields.
+MIXED_PATHS = {
+    "invoice_id": (["id", "header.number"], "string"), "vendor": (["vendor.name", "vendor", "supplier.company.name", "seller"], "string"),
+    "amount": (["totals.net", "amount"], "double"), "due": (["terms.due date", "due_date"], "string")}
+
+
+def mixed_json(t: Tables) -> DataFrame:
+    """Invoices as JSON texts: vendors nested once, flat, nested twice or under another name; every thirtieth cut off."""
+    k = F.col("o_orderkey")
+    inv = t.invoices(client=False, paid=False)
+    vendor, amount = F.coalesce("vendor", F.lit("")), F.col("amount").cast("double")
+    due = F.col("due_date").cast("string")
+    nested = F.to_json(F.struct(F.col("invoice_id").alias("id"), F.struct(vendor.alias("name")).alias("vendor"),
+                                F.struct(amount.alias("net")).alias("totals"), due.alias("due_date")))
+    flat = F.to_json(F.struct(F.col("invoice_id").alias("id"), vendor.alias("vendor"), amount.alias("amount"), due.alias("due_date")))
+    deep = F.to_json(F.struct(F.struct(F.col("invoice_id").alias("number")).alias("header"), amount.cast("string").alias("amount"),
+                              F.struct(F.struct(vendor.alias("name")).alias("company")).alias("supplier"), F.struct(due.alias("due date")).alias("terms")))
+    other = F.to_json(F.struct(F.col("invoice_id").alias("id"), F.lit("").alias("vendor"), vendor.alias("seller"), F.lit("n/a").alias("totals"),
+                               amount.alias("amount"), F.struct(F.lit(1).alias("days")).alias("terms")))
+    text = F.when(k % 4 == 0, nested).when(k % 4 == 1, flat).when(k % 4 == 2, deep).otherwise(other)
+    return inv.select(F.when(k % 30 == 0, F.expr("left(invoice_id, 3)")).otherwise(text).alias("value"))
+
+
+@query("nested_fields", """
+SELECT CASE WHEN o_orderkey % 30 <> 0 THEN invoice_id END AS invoice_id, CASE WHEN o_orderkey % 30 <> 0 THEN vendor END AS vendor,
+       CASE WHEN o_orderkey % 30 <> 0 THEN amount::DOUBLE END AS amount,
+       CASE WHEN o_orderkey % 30 <> 0 AND o_orderkey % 4 <> 3 THEN due_date::DATE::VARCHAR END AS due FROM invoices""")
+def _(t):
+    """Invoices read from four JSON layouts through one list of dotted paths for each field."""
+    folder = new_folder(t.spark, "mixed")
+    mixed_json(t).write.text(folder)
+    return t.spark.read.text(folder).select(*paths.fields("value", MIXED_PATHS))
+
+
 def answers(t: Tables) -> DataFrame:
     """Two rounds of answers per contract: a first guess, then the right one."""
     c = t.contracts()
