@@ -74,15 +74,26 @@ def machine(x: np.ndarray, positive: np.ndarray, rounds: int = 300, c: float = 2
     return w
 
 
-def fit(documents: DataFrame, train_rows: int = TRAIN_ROWS) -> dict:
-    """Learn from rows with text and lang; the sample takes languages in turn until it is full."""
+def _sample(documents: DataFrame, train_rows: int) -> DataFrame:
+    """(text, lang) of at most ``train_rows`` ids, least hashes first, languages in turn; of rows of one id and language the least text.
+
+    A language's ids above four times the sample's share of the hashes are left
+    out before they are ordered, so no task orders a whole language.
+    """
+    labelled = documents.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
+    ids = labelled.select("doc_id", "lang").distinct()
+    place = F.xxhash64("doc_id").cast("double") / 2.0**64 + 0.5
+    few = ids.join(ids.groupBy("lang").agg(F.count("*").alias("n")), "lang").where(place * F.col("n") <= 4 * train_rows)
     turn = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (
-        documents.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang")
-        .withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= train_rows)
-        .orderBy("turn", "lang").limit(train_rows).select("doc_id", F.col("lang").alias("y"))
-    )
-    rows = documents.where("text IS NOT NULL AND lang IS NOT NULL").join(F.broadcast(chosen), "doc_id").where("lang = y")
+    chosen = (few.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= train_rows)
+              .orderBy("turn", "lang").limit(train_rows).select("doc_id", "lang"))
+    return labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(
+        F.min("text").alias("text"))
+
+
+def fit(documents: DataFrame, train_rows: int = TRAIN_ROWS) -> dict:
+    """Learn from rows with text and lang; the sample takes languages in turn until it is full, and repeated ids once."""
+    rows = _sample(documents, train_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -119,14 +119,15 @@ def train(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS)
     """Weights learnt from a bounded sample of labelled documents.
 
     ``labels`` has doc_id and label; a document with several labels counts with
-    the largest. The sample is joined by a broadcast of at most ``train_rows`` ids.
+    the largest, and of rows of one id the least text counts. The sample is joined by
+    a broadcast of at most ``train_rows`` ids.
     """
     chosen = (
         labels.where("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     )
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
-        "text", F.col("label").cast("int"), "doc_id")
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(
+        F.min("text").alias("text"), F.first("label").cast("int").alias("label"))
     features = rows.select("text", "label").mapInArrow(_sparse, "label int, at binary, value binary").toArrow()
     cases = sorted(zip(features["label"].to_pylist(), features["at"].to_pylist(), features["value"].to_pylist()))
     model = Ftrl()
