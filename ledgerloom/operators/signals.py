@@ -70,9 +70,12 @@ def cluster(signals: DataFrame, as_of: dt.date, known: DataFrame | None = None)
         .select(F.concat(F.lit("ws_"), F.md5("f")).alias("id"), "score", "signals",
                 F.lit(as_of).alias("detected_at"), F.lit(False).alias("acknowledged"))
     )
-    if known is not None:
-        found = found.join(known.select("id"), "id", "left_anti")
-    return found
+    return found if known is None else unknown(found, known)
+
+
+def unknown(found: DataFrame, known: DataFrame) -> DataFrame:
+    """The clusters whose id is not stored yet; a cluster that grew has another id and counts as new."""
+    return found.join(known.select("id"), "id", "left_anti")
 
 
 def list_id(names: Column) -> Column:

@@ -411,6 +411,14 @@ def _(t):
     return signals.cluster_by_subject(found_signals(t), AS_OF).select("id", "subject", "score", "signals")
 
 
+@query("weak_signal_new", BY_SUBJECT + "SELECT * FROM by_subject WHERE ascii(md5(subject)) % 3 <> 0")
+def _(t):
+    """The clusters by subject that a stored third of them does not hold yet."""
+    found = signals.cluster_by_subject(found_signals(t), AS_OF).select("id", "subject", "score", "signals")
+    stored = found.where("ascii(md5(subject)) % 3 = 0")
+    return signals.unknown(found, stored)
+
+
 @query("active_signals", BY_SUBJECT + """
 SELECT b.id, b.score, p.type, p.subject, p.n::BIGINT AS signals, p.w::BIGINT AS weight
 FROM by_subject b JOIN per_type p USING (subject)""")

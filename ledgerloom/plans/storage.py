@@ -365,6 +365,10 @@ def _(t):
     return t.spark.read.schema("event_id bigint, user_id bigint, event_type string, value double, k bigint").parquet(f"{out}/rows")
 
 
+LOG_LINE = r"^(\S+) (\w+) user=(\d+) type=(\w+) value=(-?[\d.]+)$"
+LOG_COLUMNS = {"ts": "timestamp", "level": "string", "user_id": "bigint", "event_type": "string", "value": "double"}
+
+
 @query("stream_logs", """
 SELECT user_id, event_type, count(*)::BIGINT AS n FROM events GROUP BY user_id, event_type""", finance=False)
 def _(t):
@@ -374,7 +378,7 @@ def _(t):
                        F.concat(F.lit("user="), F.col("user_id").cast("string")), F.concat(F.lit("type="), "event_type"),
                        F.concat(F.lit("value="), F.round("value", 2).cast("decimal(18,2)").cast("string"), F.lit("  ")))
     t.read("events").select(line.alias("value")).write.text(f"{folder}/in")
-    events.run_to_files(events.parse_logs(t.spark.readStream.text(f"{folder}/in")), f"{folder}/out", f"{folder}/state")
+    events.run_to_files(events.parse_logs(t.spark.readStream.text(f"{folder}/in"), LOG_LINE, LOG_COLUMNS), f"{folder}/out", f"{folder}/state")
     rows = t.spark.read.schema("line string, ts timestamp, level string, user_id bigint, event_type string, value double").parquet(f"{folder}/out")
     return rows.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 

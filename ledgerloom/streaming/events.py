@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from ledgerloom.sources.deltas import BUCKETS, DeltaTable
 
-LOG_PATTERN = r"^(\S+) (\w+) user=(\d+) type=(\w+) value=(-?[\d.]+)$"
-
 
 def kafka_messages(spark: SparkSession, servers: str, topic: str, schema: str, max_messages: int = 100000) -> DataFrame:
     """Key, decoded value, time and offset of a topic's messages."""
@@ -36,16 +34,16 @@ def without_repeats(messages: DataFrame, key: list[str], time: str, delay: str =
     return messages.withWatermark(time, delay).dropDuplicatesWithinWatermark(key)
 
 
-def parse_logs(lines: DataFrame) -> DataFrame:
-    """Log lines, right-trimmed, with the fields of those that follow the pattern."""
-    line = F.rtrim("value")
-
-    def part(i: int):
-        return F.nullif(F.regexp_extract(line, LOG_PATTERN, i), F.lit(""))
+def parse_logs(lines: DataFrame, pattern: str, columns: dict[str, str]) -> DataFrame:
+    """Log lines, right-trimmed, with the groups of ``pattern`` as columns of the named types, in order.
 
-    return lines.select(
-        line.alias("line"), part(1).try_cast("timestamp").alias("ts"), part(2).alias("level"),
-        part(3).try_cast("bigint").alias("user_id"), part(4).alias("event_type"), part(5).try_cast("double").alias("value"))
+    A line that does not follow the pattern keeps its text and has nulls, as has a
+    group that is empty or not of its type.
+    """
+    line = F.rtrim("value")
+    parts = [F.nullif(F.regexp_extract(line, pattern, i), F.lit("")).try_cast(kind).alias(name)
+             for i, (name, kind) in enumerate(columns.items(), 1)]
+    return lines.select(line.alias("line"), *parts)
 
 
 def daily_totals(messages: DataFrame, time: str, kind: str, value: str, delay: str = "1 hour") -> DataFrame:
