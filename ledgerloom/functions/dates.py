@@ -17,7 +17,7 @@ FRENCH = ["janvier", "février", "mars", "avril", "mai", "juin", "juillet", "ao
           "octobre", "novembre", "décembre"]
 FRENCH_SHORT = {"janv": 1, "févr": 2, "avr": 4, "juil": 7, "sept": 9, "oct": 10, "nov": 11, "déc": 12}
 
-# a written month is tried from the start of its word only, once per word
+# The forms of a date in a text; a written month is tried from the start of its word only, once per word
 DATE_PATTERN = (r"(?U)\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}|\d{2}-\d{2}-\d{4}"
                 r"|(?:(?<!\w)|\G)\w++ \d{1,2}, \d{4}|\d{1,2} \w++ \d{4}")
 

@@ -175,6 +175,7 @@ def json_type(name: Column, value: Column) -> Column:
 # Question words and the contract field they ask for.
 QUESTION_FIELDS = {"Parties": "vendor", "Agreement Date": "start_date", "Expiration Date": "end_date",
                    "Contract Value": "annual_value", "Auto-Renewal": "auto_renewal", "Contract Type": "type"}
+# Answers that say nothing, and the dates of contracts that name none.
 NO_ANSWER = ["", "n/a", "none", "not mentioned"]
 START_DEFAULT, END_DEFAULT = "2024-01-01", "2026-12-31"
 

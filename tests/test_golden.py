@@ -209,3 +209,20 @@ def test_ledger_with_missing_columns_keeps_its_rows(spark, tmp_path):
     (tmp_path / "m.csv").write_text("Account,Credit\n601,7\n")
     got = {(str(r.date), r.account, r.debit and float(r.debit), r.credit and float(r.credit)) for r in files.read_ledger(spark, str(tmp_path)).collect()}
     assert got == {("2024-01-02", None, 5.0, None), ("None", "601", None, 7.0)}
+
+
+def test_invoice_ids_in_order_of_priority_and_near_the_word(spark):
+    cases = {"Invoice number: A-17 then invoice # B-18": "B-18", "invoice number: C19": "C19", "N° facture : D-20": "D-20",
+             "Facture N° 2024-0001": "2024-0001", "ref INV-2024-0007": "2024-0007",
+             "your Invoice with the reference XY-4711 of May": "XY-4711", "invoice one two three four XY-4711": None,
+             "Invoice see TOTAL": None, "": None}
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", text.invoice_fields("t").alias("f")).collect()
+    assert {r.t: r.f.invoice_id for r in rows} == cases
+
+
+def test_contract_vendor_in_order_of_priority(spark):
+    cases = {"Supplier: Late Corp\nagreement between Acme Inc and Bob": "Acme Inc", "Vendor - Beta Ltd; x": "Beta Ltd",
+             "Supplier: Late Corp\nParty: one, First SA\n": "First SA", "a firm known as Gamma LLC\n": "Gamma LLC",
+             "entered into by Delta Corp and others": "Delta Corp", "nobody": "Unknown Vendor"}
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", text.contract_fields("t").alias("f")).collect()
+    assert {r.t: r.f.vendor for r in rows} == cases
