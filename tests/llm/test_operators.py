@@ -316,18 +316,35 @@ def test_windows_score_each_id_once():
             assert abs(z[text[t]] - np.log(np.exp(z - z.max()).sum()) - z.max() - got[a + t]) < 1e-3
 
 
+def small_plan():
+    """Classes of a vocabulary of 400 ids and an end, a third of them never seen."""
+    counts = np.random.default_rng(4).integers(1, 1000, 401).astype(float)
+    counts[1:400:3] = 0
+    return scoring._classes(counts)
+
+
 def test_gradients_are_right():
-    random = np.random.default_rng(3)
-    p = {n: w.astype(np.float64) for n, w in scoring._start(random).items()}
-    x, y = random.integers(0, scoring.CLASSES, (2, 2, scoring.WINDOW))
+    random, plan = np.random.default_rng(3), small_plan()
+    p = {n: w.astype(np.float64) for n, w in scoring._start(random, len(plan["bias"])).items()}
+    p["in"] += random.normal(size=p["in"].shape) / 3
+    p["ein"][:-1] += random.normal(size=p["in"].shape) / 3
+    seen = np.flatnonzero((np.arange(401) % 3 != 1) | (np.arange(401) == 400))
+    line = random.choice(seen, (2, scoring.WINDOW + 1))
+    line[0, :2] = np.flatnonzero(plan["slot"] < len(p["in"]))[[0, -1]]
+    kind, slot = plan["kind"][line], plan["slot"][line]
+    x, y = kind[:, :-1], kind[:, 1:]
 
     def loss():
-        f = scoring._forward(p, x)["y"].reshape(-1, scoring.WIDTH)
-        return -scoring._log_softmax_at(p, f, y.ravel()).mean()
+        f = scoring._forward(p, x, slot[:, :-1])["y"].reshape(-1, scoring.WIDTH)
+        logs = scoring._log_softmax_at(p, f, y.ravel())
+        shared = np.flatnonzero(slot[:, 1:].ravel() < len(p["in"]))
+        logs[shared] += scoring._log_within(p, f[shared], slot[:, 1:].ravel()[shared], plan)
+        return -logs.mean()
 
-    g = scoring._gradients(p, x, y)
+    g = scoring._gradients(p, x, y, slot, plan)
     for name in p:
-        at = tuple(random.integers(0, s) for s in p[name].shape) if name != "emb" else (int(x[0, 0]), 3)
+        at = {"emb": (int(x[0, 0]), 3), "in": (int(slot[0, 1]), 2), "ein": (int(slot[0, 0]), 2)}.get(name) or tuple(
+            random.integers(0, s) for s in p[name].shape)
         old = p[name][at]
         p[name][at] = old + 1e-5
         up = loss()
@@ -337,6 +354,42 @@ def test_gradients_are_right():
         assert abs((up - down) / 2e-5 - g[name][at]) < 1e-5 + 1e-3 * abs(g[name][at]), name
 
 
+@pytest.mark.parametrize("counts", [None, [5.0, 1.0, 3.0, 2.0], [0.0, 0.0, 0.0, 9.0], [1.0] * 400 + [2.0]])
+def test_probabilities_of_all_ids_sum_to_one(counts):
+    plan = small_plan() if counts is None else scoring._classes(np.array(counts))
+    random = np.random.default_rng(6)
+    p = scoring._start(random, len(plan["bias"]))
+    p["in"] += random.normal(size=p["in"].shape).astype(np.float32) / 3
+    ids = np.arange(len(plan["kind"]))
+    # each id is a text of its own, so all are predicted from the same place
+    logs = scoring.log_probabilities(p, plan["kind"], np.arange(len(ids) + 1), 0, plan["slot"], plan) + plan["more"]
+    used = {c for c in range(scoring.CLASSES) if c not in set(plan["kind"].tolist())}
+    y = scoring._forward(p, np.zeros((1, scoring.WINDOW), int), np.full((1, scoring.WINDOW), len(p["in"])))["y"][0, 0]
+    z = np.exp((y @ p["u"] + p["b"]).astype(np.float64))
+    assert abs(np.exp(logs).sum() + z[sorted(used)].sum() / z.sum() - 1) < 1e-4
+
+
+def test_training_covers_all_rows_and_grows_with_them(spark, space):
+    random, plan = np.random.default_rng(8), small_plan()
+    start = scoring._start(random, len(plan["bias"]))
+    seen = np.flatnonzero(np.arange(400) % 3 != 1).astype(np.uint16)
+    texts = [(random.choice(seen, 3000).tobytes(),) for _ in range(40)]
+    shared = spark.sparkContext.broadcast((start, plan))
+
+    def windows(rows):
+        df = spark.createDataFrame(rows, "ids binary").repartition(3)
+        return sum(r.windows for r in df.mapInArrow(scoring._learn(shared, 1e-3, 0, 400), scoring._NETWORK).collect())
+
+    per_text = 3001 / (scoring.WINDOW * scoring.SPAN * len(scoring.ROUNDS))
+    assert abs(windows(texts) - 40 * per_text) <= 3 and abs(windows(texts * 4) - 160 * per_text) <= 3
+    nets = [(int(n), scoring._flat(start) * k) for n, k in ((1, 1.0), (3, 5.0))]
+    df = spark.createDataFrame([(n, bytearray(w.astype(np.float32).tobytes())) for n, w in nets], scoring._NETWORK).coalesce(1)
+    row = df.mapInArrow(scoring._average, scoring._NETWORK).first()
+    assert row.windows == 4 and np.allclose(np.frombuffer(row.weights, np.float32), scoring._flat(start) * 4, atol=1e-5)
+    got = scoring._trained(spark.createDataFrame([], "ids binary"), start, plan, 400, space)
+    assert all((got[n] == start[n]).all() for n in start)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
