@@ -1,19 +1,24 @@
 """Training order on disk: token sequences in a keyed permutation, in fixed-stride shards.
 
-Documents become token ids, each with an end id, and are packed into sequences of
-``LENGTH`` ids in the order of the input's partitions; only a partition's last
-sequence is padded (with end ids). Sequences are numbered 0 .. N-1. A keyed
-Feistel network over the next power of four, walked until it lands below N, sends
-a number to its global slot. Slots are cut into ranges of ``PER_SHARD``; one task
-writes a shard's slots in order, 2 * LENGTH bytes each, little-endian 16-bit.
-Slot s is at byte (s mod PER_SHARD) * 2 * LENGTH of shard s div PER_SHARD, so a
-reader resumes at any slot by arithmetic alone, and ``source_of`` inverts the
+Documents become token ids, each with an end id. They follow one another in the
+order of a hash of id and text, whatever the partitions and the cluster, and the
+stream is cut into sequences of ``LENGTH`` ids; only the very last is padded (with
+end ids). Sequences are numbered 0 .. N-1. A keyed Feistel network over the next
+power of four, walked until it lands below N, sends a number to its global slot.
+Slots are cut into ranges of ``PER_SHARD``; one task, its partition the shard's
+number, writes a shard's slots in order, 2 * LENGTH bytes each, little-endian
+16-bit. Slot s is at byte (s mod PER_SHARD) * 2 * LENGTH of shard s div PER_SHARD,
+so a reader resumes at any slot by arithmetic alone, and ``source_of`` inverts the
 permutation.
 
-Defined cases: null and empty texts add nothing; repeated rows are written each;
-a null id is listed as null; a text of any length runs over as many sequences as
-it needs; an empty table writes no shard. A shard is written beside its place and
-renamed, so a repeated task leaves one whole file.
+The stream is worked on in ranges of the hash, at most ``MOST_RANGES``, each a
+sorted partition that is read once; counts of the ranges say where each begins.
+Their number decides how the work is cut, never the result.
+
+Defined cases: null and empty texts add nothing; repeated rows are written each,
+and equal ones meet in one range; a null id is listed as null; a text of any length
+runs over as many sequences as it needs; an empty table writes no shard. A shard is
+written beside its place and renamed, so a repeated task leaves one whole file.
 """
 
 from __future__ import annotations
@@ -21,11 +26,11 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,8 +41,8 @@ LENGTH = 2048
 PER_SHARD = 1024
 KEY = 20240601
 ROUNDS = 6
-#: Sequences that travel together, compressed.
-BUNDLE = 64
+#: Tokens that a range of the stream should hold, and the most ranges.
+RANGE_TOKENS, MOST_RANGES = 1 << 21, 1 << 17
 
 
 # ----------------------------------------------------------------- permutation
@@ -81,112 +86,100 @@ def source_of(slot, n: int, key: int = KEY) -> np.ndarray:
 
 # --------------------------------------------------------------------- packing
 
-def _pack(ranks, length: int):
-    names = ["part", "first", "count", "filled", "docs", "blob"]
+def _coded(ranks):
+    """Texts as the bytes of their ids and the end's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part = Encoder(ranks.value), TaskContext.get().partitionId()
-        held, owners, first = [], [], 0  # ids not yet in a bundle; (place, doc_id) where documents begin
-        size = 0
-
-        def bundle(count: int, filled: int):
-            """The next ``count`` sequences, of which ``filled`` ids are text."""
-            nonlocal held, owners, first, size
-            ids = np.concatenate(held)
-            taken = count * length
-            block, ids = ids[:taken], ids[taken:]
-            held, size = [ids] if len(ids) else [], len(ids)
-            begins = [p for p, _ in owners] + [taken + 1]
-            docs = []
-            for k in range(count):
-                a, b = k * length, min((k + 1) * length, filled)
-                docs.append([d for (p, d), e in zip(owners, begins[1:]) if p < b and e > a])
-            rest = [(p - taken, d) for p, d in owners if p >= taken]
-            if size and (not rest or rest[0][0] > 0):  # a document that goes on
-                rest.insert(0, (0, [d for p, d in owners if p < taken][-1]))
-            owners = rest
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([first], pa.int64()), pa.array([count], pa.int32()),
-                 pa.array([filled], pa.int32()), pa.array([docs], pa.list_(pa.list_(pa.int64()))),
-                 pa.array([zlib.compress(block.tobytes(), 1)], pa.binary())], names)
-            first += count
-            return out
-
+        coder = Encoder(ranks.value)
+        end = np.array([coder.end], np.uint16)
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                text = text.as_py()
-                if not text:
-                    continue
-                ids = coder.ids(text)
-                owners.append((size, doc))
-                held += [ids, np.array([coder.end], np.uint16)]
-                size += len(ids) + 1
-                while size >= BUNDLE * length:
-                    yield bundle(BUNDLE, BUNDLE * length)
-        if size:
-            count, filled = -(-size // length), size
-            held.append(np.full(count * length - size, coder.end, np.uint16))
-            yield bundle(count, filled)
+            for first in range(0, batch.num_rows, 256):
+                some = batch.slice(first, 256)
+                ids = [np.concatenate((coder.ids(text.as_py()), end)) for text in some.column("text")]
+                yield pa.RecordBatch.from_arrays(
+                    [some.column("place"), some.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()),
+                     pa.array([x.tobytes() for x in ids], pa.binary())], ["place", "doc_id", "n", "ids"])
 
     return run
 
 
 def _deal(offsets: dict[int, int], n: int, key: int, length: int, per_shard: int):
-    """Bundles taken apart and gathered by shard, at most some 64 MB at a time."""
-    stride, names = 2 * length, ["shard", "slots", "filled", "docs", "blob"]
+    """Ranges of the stream cut into sequences, or parts of one at a range's ends, and gathered by shard, some 64 MB at a time."""
+    names = ["shard", "slots", "begins", "docs", "sizes", "blob"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[tuple] = []  # (sequence, where the part begins in it, doc ids, bytes)
+        parts, docs, size, weight, at, now = [], [], 0, 0, 0, None
+
+        def close():
+            nonlocal parts, docs, size, weight
+            if size:
+                held.append(((at - size) // length, (at - size) % length, docs, b"".join(parts)))
+                weight += 2 * size
+            parts, docs, size = [], [], 0
 
         def flush():
-            held.sort(key=lambda h: h[0])
+            nonlocal weight
             groups: dict[int, list] = {}
-            for h in held:
-                groups.setdefault(h[0] // per_shard, []).append(h)
+            for slot, part in zip(slot_of([h[0] for h in held], n, key).tolist() if held else [], held):
+                groups.setdefault(slot // per_shard, []).append((slot, *part[1:]))
             for shard, rows in groups.items():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard], pa.int64()), pa.array([[r[0] for r in rows]], pa.list_(pa.int64())),
+                    [pa.array([shard], pa.int32()), pa.array([[r[0] for r in rows]], pa.list_(pa.int64())),
                      pa.array([[r[1] for r in rows]], pa.list_(pa.int32())),
                      pa.array([[r[2] for r in rows]], pa.list_(pa.list_(pa.int64()))),
+                     pa.array([[len(r[3]) for r in rows]], pa.list_(pa.int32())),
                      pa.array([zlib.compress(b"".join(r[3] for r in rows), 1)], pa.binary())], names)
             held.clear()
+            weight = 0
 
         for batch in batches:
-            for row in batch.to_pylist():
-                block = zlib.decompress(row["blob"])
-                numbers = offsets[row["part"]] + row["first"] + np.arange(row["count"])
-                for k, slot in enumerate(slot_of(numbers, n, key).tolist()):
-                    filled = min(length, row["filled"] - k * length)
-                    held.append((slot, filled, row["docs"][k], block[k * stride: (k + 1) * stride]))
-                if len(held) * stride > 64 << 20:
-                    yield from flush()
+            for where, doc, ids in zip(batch.column("range").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids")):
+                if where != now:
+                    close()
+                    now, at = where, offsets[where]
+                ids = memoryview(ids.as_buffer())
+                while len(ids):
+                    taken = min(len(ids) // 2, length - at % length)
+                    parts.append(ids[: 2 * taken])
+                    docs.append(doc)
+                    ids, at, size = ids[2 * taken:], at + taken, size + taken
+                    if at % length == 0:
+                        close()
+                    if weight > 64 << 20:
+                        yield from flush()
+        close()
         yield from flush()
 
     return run
 
 
-def _write(folder: str, length: int, per_shard: int):
+def _write(folder: str, length: int, per_shard: int, end: int):
     """One shard after another: its parts put in slot order and written as one file."""
-    stride, names = 2 * length, ["slot", "shard", "byte_offset", "doc_ids", "n_tokens"]
+    stride, names, pad = 2 * length, ["slot", "shard", "byte_offset", "doc_ids", "n_tokens"], np.array([end], np.uint16).tobytes()
 
     def one(shard: int, parts: list[dict]) -> pa.RecordBatch:
-        rows = []
+        pieces = []
         for part in parts:
-            block = zlib.decompress(part["blob"])
-            rows += [(s, f, d, block[k * stride: (k + 1) * stride])
-                     for k, (s, f, d) in enumerate(zip(part["slots"], part["filled"], part["docs"]))]
-        rows.sort(key=lambda r: r[0])
+            block, bounds = zlib.decompress(part["blob"]), np.cumsum([0, *part["sizes"]]).tolist()
+            pieces += [(slot, begin, docs, block[a:b]) for slot, begin, docs, a, b in
+                       zip(part["slots"], part["begins"], part["docs"], bounds, bounds[1:])]
+        rows = []  # (slot, doc ids, bytes)
+        for slot, mine in groupby(sorted(pieces, key=lambda r: r[:2]), key=lambda r: r[0]):
+            mine = list(mine)
+            rows.append((slot, [d for r in mine for d in r[2]], b"".join(r[3] for r in mine)))
         files, root = pafs.FileSystem.from_uri(folder)
         files.create_dir(root, recursive=True)
         final, draft = f"{root}/shard-{shard:08d}.bin", f"{root}/.draft-{shard:08d}-{uuid.uuid4().hex}"
         with files.open_output_stream(draft) as out:
             for r in rows:
-                out.write(r[3])
+                out.write(r[2])
+                out.write(pad * (length - len(r[2]) // 2))
         files.move(draft, final)
         return pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], pa.int64()), pa.array([shard] * len(rows), pa.int64()),
              pa.array([r[0] % per_shard * stride for r in rows], pa.int64()),
-             pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.int32())], names)
+             pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([len(r[2]) // 2 for r in rows], pa.int32())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, parts = None, []
@@ -209,26 +202,29 @@ def materialise(documents: DataFrame, space: Workspace, vocabulary: str = VOCABU
     """Write the shards; (slot, shard, byte_offset, doc_ids, n_tokens) per sequence, and the shards' folder."""
     spark = documents.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(vocabulary))
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    bundles = space.keep(docs.mapInArrow(
-        _pack(ranks, length), "part int, first long, count int, filled int, docs array<array<long>>, blob binary"), "bundles")
-    # a row per input partition
-    counts = sorted((r.part, r.n) for r in bundles.groupBy("part").agg(F.sum("count").alias("n")).collect())
-    offsets, n = {}, 0
-    for part, count in counts:
-        offsets[part] = n
-        n += count
+    docs = documents.where("text IS NOT NULL AND text <> ''").select(
+        F.xxhash64("doc_id", "text").alias("place"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    coded = space.keep(docs.mapInArrow(_coded(ranks), "place long, doc_id long, n long, ids binary"), "coded")
+    total = coded.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n = -(-total // length)
+    bits = min(MOST_RANGES.bit_length() - 1, max(0, (total // RANGE_TOKENS).bit_length()))
+    cut = F.shiftright(F.col("place"), 64 - bits).cast("int") + 2 ** (bits - 1) if bits else F.lit(0)
+    ranged = coded.withColumn("range", cut)
+    counts = sorted((r.range, r.n) for r in ranged.groupBy("range").agg(F.sum("n").alias("n")).collect())  # at most MOST_RANGES
+    offsets = dict(zip([r for r, _ in counts], np.cumsum([0, *(c for _, c in counts)]).tolist()))
     folder = space.path("shards")
     files, root = pafs.FileSystem.from_uri(folder)
     files.create_dir(root, recursive=True)
-    dealt = bundles.mapInArrow(
+    dealt = ranged.repartitionById(2**bits, "range").sortWithinPartitions("range", "place", "doc_id", "ids").select(
+        "range", "doc_id", "ids").mapInArrow(
         _deal(offsets, n, key, length, per_shard),
-        "shard long, slots array<long>, filled array<int>, docs array<array<long>>, blob binary")
+        "shard int, slots array<long>, begins array<int>, docs array<array<long>>, sizes array<int>, blob binary")
     tasks = max(1, -(-n // per_shard))
     index = space.keep(
-        dealt.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(
-            _write(folder, length, per_shard), "slot long, shard long, byte_offset long, doc_ids array<long>, n_tokens int"), "index")
-    space.drop("bundles")
+        dealt.repartitionById(tasks, "shard").sortWithinPartitions("shard").mapInArrow(
+            _write(folder, length, per_shard, Encoder(ranks.value).end),
+            "slot long, shard long, byte_offset long, doc_ids array<long>, n_tokens int"), "index")
+    space.drop("coded")
     return index, folder
 
 

@@ -190,6 +190,20 @@ def test_shards_round_trip(docs, spark, space):
     ids = np.concatenate(stream)
     texts = [coder.text(p) for p in np.split(ids, np.flatnonzero(ids == coder.end) + 1)[:-1]]
     assert sorted(texts) == sorted(t[1] for t in rows() if t[1])
+    assert all(r.n_tokens == 64 for r in got if shards.source_of([r.slot], len(got))[0] < len(got) - 1)
+
+
+def test_training_order_does_not_depend_on_partitions(docs, spark, space, monkeypatch):
+    """Other partitions, another order of the rows and ranges of 500 tokens give the same shards; a task writes one shard."""
+    seen = []
+    for parts, tokens in ((1, 1 << 21), (7, 500), (3, 40)):
+        monkeypatch.setattr(shards, "RANGE_TOKENS", tokens)
+        index, folder = shards.materialise(docs.repartition(parts, F.rand(parts)), common.Workspace(spark, f"order{parts}"), length=64, per_shard=16)
+        held = index.join(shards.read_back(spark, folder, 64, 16), "slot")
+        seen.append(sorted((r.slot, r.shard, r.byte_offset, [str(d) for d in r.doc_ids], r.n_tokens, bytes(r.tokens)) for r in held.collect()))
+        per_file = index.groupBy(F.input_file_name()).agg(F.countDistinct("shard").alias("n")).collect()
+        assert {r.n for r in per_file} == {1}
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) > 16
 
 
 def test_quality_and_language_pass_columns_and_odd_texts(docs, spark):
