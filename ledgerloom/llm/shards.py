@@ -11,9 +11,10 @@ number, writes a shard's slots in order, 2 * LENGTH bytes each, little-endian
 so a reader resumes at any slot by arithmetic alone, and ``source_of`` inverts the
 permutation.
 
-The stream is worked on in ranges of the hash, at most ``MOST_RANGES``, each a
-sorted partition that is read once; counts of the ranges say where each begins.
-Their number decides how the work is cut, never the result.
+Only numbers are sorted: (hash, id, count) rows are summed up in ranges of the
+hash, at most ``MOST_RANGES``, and each input partition gets a file with the place
+of each of its documents in the stream. The ids then travel once, from their
+document to their shard. The number of ranges cuts the work, never the result.
 
 Defined cases: null and empty texts add nothing; repeated rows are written each,
 and equal ones meet in one range; a null id is listed as null; a text of any length
@@ -31,7 +32,8 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import Workspace, mix
@@ -41,8 +43,8 @@ LENGTH = 2048
 PER_SHARD = 1024
 KEY = 20240601
 ROUNDS = 6
-#: Tokens that a range of the stream should hold, and the most ranges.
-RANGE_TOKENS, MOST_RANGES = 1 << 21, 1 << 17
+#: Tokens of the documents that a range of the hash should hold, and the most ranges.
+RANGE_TOKENS, MOST_RANGES = 1 << 22, 1 << 17
 
 
 # ----------------------------------------------------------------- permutation
@@ -87,68 +89,97 @@ def source_of(slot, n: int, key: int = KEY) -> np.ndarray:
 # --------------------------------------------------------------------- packing
 
 def _coded(ranks):
-    """Texts as the bytes of their ids and the end's."""
+    """Texts as the compressed bytes of their ids and the end's; ``part`` and ``k`` number the rows."""
+    names = ["part", "k", "place", "doc_id", "n", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(ranks.value)
+        coder, part, k = Encoder(ranks.value), TaskContext.get().partitionId(), 0
         end = np.array([coder.end], np.uint16)
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 some = batch.slice(first, 256)
+                size = some.num_rows
                 ids = [np.concatenate((coder.ids(text.as_py()), end)) for text in some.column("text")]
                 yield pa.RecordBatch.from_arrays(
-                    [some.column("place"), some.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()),
-                     pa.array([x.tobytes() for x in ids], pa.binary())], ["place", "doc_id", "n", "ids"])
+                    [pa.array(np.full(size, part, np.int32)), pa.array(np.arange(k, k + size)), some.column("place"), some.column("doc_id"),
+                     pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.compress(x.tobytes(), 1) for x in ids], pa.binary())], names)
+                k += size
 
     return run
 
 
-def _deal(offsets: dict[int, int], n: int, key: int, length: int, per_shard: int):
-    """Ranges of the stream cut into sequences, or parts of one at a range's ends, and gathered by shard, some 64 MB at a time."""
-    names = ["shard", "slots", "begins", "docs", "sizes", "blob"]
+def _whole_file(folder: str, name: str, parts: Iterator[bytes]) -> None:
+    """Write beside the place and rename: a repeated task leaves one whole file."""
+    files, root = pafs.FileSystem.from_uri(folder)
+    files.create_dir(root, recursive=True)
+    draft = f"{root}/.draft-{name}-{uuid.uuid4().hex}"
+    with files.open_output_stream(draft) as out:
+        for part in parts:
+            out.write(part)
+    files.move(draft, f"{root}/{name}")
+
+
+def _note_places(folder: str):
+    """A file for each ``part`` with the places of its rows in order of ``k``; rows come sorted by both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # (sequence, where the part begins in it, doc ids, bytes)
-        parts, docs, size, weight, at, now = [], [], 0, 0, 0, None
+        now, held, done = None, [], []
 
         def close():
-            nonlocal parts, docs, size, weight
-            if size:
-                held.append(((at - size) // length, (at - size) % length, docs, b"".join(parts)))
-                weight += 2 * size
-            parts, docs, size = [], [], 0
+            if now is not None:
+                _whole_file(folder, f"part-{now:08d}.bin", held)
+                done.append(now)
+
+        for batch in batches:
+            part, at = batch.column("part").to_numpy(), batch.column("at").to_numpy()
+            bounds = np.flatnonzero(np.diff(part, prepend=part[:1] - 1)).tolist() if len(part) else []
+            for a, b in zip(bounds, [*bounds[1:], len(part)]):
+                if part[a] != now:
+                    close()
+                    now, held = int(part[a]), []
+                held.append(at[a:b].tobytes())
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(done, pa.int32())], ["part"])
+
+    return run
+
+
+def _deal(places: str, n: int, key: int, length: int, per_shard: int):
+    """Documents cut at the ends of sequences, and the pieces gathered by shard, some 64 MB at a time."""
+    names = ["shard", "slots", "begins", "docs", "sizes", "blob"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # (sequence, where the piece begins in it, doc id, bytes)
+        weight, now, begins = 0, None, None
 
         def flush():
             nonlocal weight
             groups: dict[int, list] = {}
-            for slot, part in zip(slot_of([h[0] for h in held], n, key).tolist() if held else [], held):
-                groups.setdefault(slot // per_shard, []).append((slot, *part[1:]))
+            for slot, piece in zip(slot_of([h[0] for h in held], n, key).tolist() if held else [], held):
+                groups.setdefault(slot // per_shard, []).append((slot, *piece[1:]))
             for shard, rows in groups.items():
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([shard], pa.int32()), pa.array([[r[0] for r in rows]], pa.list_(pa.int64())),
-                     pa.array([[r[1] for r in rows]], pa.list_(pa.int32())),
-                     pa.array([[r[2] for r in rows]], pa.list_(pa.list_(pa.int64()))),
+                     pa.array([[r[1] for r in rows]], pa.list_(pa.int32())), pa.array([[r[2] for r in rows]], pa.list_(pa.int64())),
                      pa.array([[len(r[3]) for r in rows]], pa.list_(pa.int32())),
                      pa.array([zlib.compress(b"".join(r[3] for r in rows), 1)], pa.binary())], names)
             held.clear()
             weight = 0
 
         for batch in batches:
-            for where, doc, ids in zip(batch.column("range").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids")):
-                if where != now:
-                    close()
-                    now, at = where, offsets[where]
-                ids = memoryview(ids.as_buffer())
+            parts, ks, docs = (batch.column(c).to_pylist() for c in ("part", "k", "doc_id"))
+            for part, k, doc, ids in zip(parts, ks, docs, batch.column("ids")):
+                if part != now:
+                    files, root = pafs.FileSystem.from_uri(places)
+                    with files.open_input_stream(f"{root}/part-{part:08d}.bin") as source:
+                        now, begins = part, np.frombuffer(source.read(), np.int64)
+                ids, at = memoryview(zlib.decompress(ids.as_py())), int(begins[k])
                 while len(ids):
                     taken = min(len(ids) // 2, length - at % length)
-                    parts.append(ids[: 2 * taken])
-                    docs.append(doc)
-                    ids, at, size = ids[2 * taken:], at + taken, size + taken
-                    if at % length == 0:
-                        close()
+                    held.append((at // length, at % length, doc, bytes(ids[: 2 * taken])))
+                    ids, at, weight = ids[2 * taken:], at + taken, weight + 2 * taken
                     if weight > 64 << 20:
                         yield from flush()
-        close()
         yield from flush()
 
     return run
@@ -162,20 +193,13 @@ def _write(folder: str, length: int, per_shard: int, end: int):
         pieces = []
         for part in parts:
             block, bounds = zlib.decompress(part["blob"]), np.cumsum([0, *part["sizes"]]).tolist()
-            pieces += [(slot, begin, docs, block[a:b]) for slot, begin, docs, a, b in
+            pieces += [(slot, begin, doc, block[a:b]) for slot, begin, doc, a, b in
                        zip(part["slots"], part["begins"], part["docs"], bounds, bounds[1:])]
         rows = []  # (slot, doc ids, bytes)
         for slot, mine in groupby(sorted(pieces, key=lambda r: r[:2]), key=lambda r: r[0]):
             mine = list(mine)
-            rows.append((slot, [d for r in mine for d in r[2]], b"".join(r[3] for r in mine)))
-        files, root = pafs.FileSystem.from_uri(folder)
-        files.create_dir(root, recursive=True)
-        final, draft = f"{root}/shard-{shard:08d}.bin", f"{root}/.draft-{shard:08d}-{uuid.uuid4().hex}"
-        with files.open_output_stream(draft) as out:
-            for r in rows:
-                out.write(r[2])
-                out.write(pad * (length - len(r[2]) // 2))
-        files.move(draft, final)
+            rows.append((slot, [r[2] for r in mine], b"".join(r[3] for r in mine)))
+        _whole_file(folder, f"shard-{shard:08d}.bin", (x for r in rows for x in (r[2], pad * (length - len(r[2]) // 2))))
         return pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], pa.int64()), pa.array([shard] * len(rows), pa.int64()),
              pa.array([r[0] % per_shard * stride for r in rows], pa.int64()),
@@ -204,27 +228,32 @@ def materialise(documents: DataFrame, space: Workspace, vocabulary: str = VOCABU
     ranks = spark.sparkContext.broadcast(read_ranks(vocabulary))
     docs = documents.where("text IS NOT NULL AND text <> ''").select(
         F.xxhash64("doc_id", "text").alias("place"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    coded = space.keep(docs.mapInArrow(_coded(ranks), "place long, doc_id long, n long, ids binary"), "coded")
+    coded = space.keep(docs.mapInArrow(_coded(ranks), "part int, k long, place long, doc_id long, n long, ids binary"), "coded")
     total = coded.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n = -(-total // length)
-    bits = min(MOST_RANGES.bit_length() - 1, max(0, (total // RANGE_TOKENS).bit_length()))
+    bits = min(MOST_RANGES.bit_length() - 1, (total // RANGE_TOKENS).bit_length())
     cut = F.shiftright(F.col("place"), 64 - bits).cast("int") + 2 ** (bits - 1) if bits else F.lit(0)
-    ranged = coded.withColumn("range", cut)
-    counts = sorted((r.range, r.n) for r in ranged.groupBy("range").agg(F.sum("n").alias("n")).collect())  # at most MOST_RANGES
-    offsets = dict(zip([r for r, _ in counts], np.cumsum([0, *(c for _, c in counts)]).tolist()))
+    light = coded.select(cut.alias("range"), "place", "doc_id", "n", "part", "k")
+    counts = sorted((r.range, r.n) for r in light.groupBy("range").agg(F.sum("n").alias("n")).collect())  # at most MOST_RANGES
+    offsets = spark.createDataFrame(
+        [(r, int(at)) for (r, _), at in zip(counts, np.cumsum([0, *(c for _, c in counts)]))], "range int, begins long")
+    before = F.sum("n").over(Window.partitionBy("range").orderBy("place", "doc_id", "part", "k").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    places = space.path("places")
+    light.join(F.broadcast(offsets), "range").select("part", "k", (F.col("begins") + before).alias("at")).repartition("part").sortWithinPartitions(
+        "part", "k").mapInArrow(_note_places(places), "part int").count()
     folder = space.path("shards")
     files, root = pafs.FileSystem.from_uri(folder)
     files.create_dir(root, recursive=True)
-    dealt = ranged.repartitionById(2**bits, "range").sortWithinPartitions("range", "place", "doc_id", "ids").select(
-        "range", "doc_id", "ids").mapInArrow(
-        _deal(offsets, n, key, length, per_shard),
-        "shard int, slots array<long>, begins array<int>, docs array<array<long>>, sizes array<int>, blob binary")
+    dealt = coded.select("part", "k", "doc_id", "ids").mapInArrow(
+        _deal(places, n, key, length, per_shard),
+        "shard int, slots array<long>, begins array<int>, docs array<long>, sizes array<int>, blob binary")
     tasks = max(1, -(-n // per_shard))
     index = space.keep(
         dealt.repartitionById(tasks, "shard").sortWithinPartitions("shard").mapInArrow(
             _write(folder, length, per_shard, Encoder(ranks.value).end),
             "slot long, shard long, byte_offset long, doc_ids array<long>, n_tokens int"), "index")
-    space.drop("coded")
+    space.drop("coded", "places")
     return index, folder
 
 
