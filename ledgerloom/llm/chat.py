@@ -104,7 +104,7 @@ def schema_paths(kind: T.DataType, at: str = "") -> set[str]:
 def _get(value, path: str | None):
     for step in path.split(".") if path else []:
         value = value.get(step) if isinstance(value, dict) else None
-    return value
+    return value if path else None
 
 
 def _as_text(value) -> str:
@@ -122,15 +122,35 @@ def turns_of(record: dict, layout: Layout) -> list[tuple[str, str]]:
             out[-1] = (out[-1][0], out[-1][1] + "\n" + _as_text(value))
         else:
             out.append((role, _as_text(value)))
-    if layout.turns:
-        for turn in _get(record, layout.turns) or []:
+    if not layout.parts or layout.turns:
+        for turn in (_get(record, layout.turns) or []) if layout.turns else [record]:
             role = _as_text(_get(turn, layout.role))
             out.append((layout.roles.get(role.lower(), role), _as_text(_get(turn, layout.text))))
     return out
 
 
+def layout_of(record: dict, known: dict[str, Layout]) -> Layout | None:
+    """The layout whose mapped paths the record has; further fields do not count, an empty turn list has all paths of a turn.
+
+    Of several the one with most mapped paths in the record is taken, then the first of ``LAYOUTS``.
+    """
+    every = json_paths(record)
+    if (exact := known.get(fingerprint(every))) is not None:
+        return exact
+    fit = []
+    for layout in LAYOUTS:
+        inside = {f"{layout.turns}[].{p}" for p in (layout.role, layout.text)} if layout.turns and _get(record, layout.turns) == [] else set()
+        mine = layout.paths() & (every | inside)
+        if mine and known.get(fingerprint(mine)) == layout:
+            fit.append((len(mine), layout))
+    return max(fit, key=lambda x: x[0])[1] if fit else None
+
+
 def canonical_from_json(records: DataFrame, record: str = "record", id_column: str | None = None) -> DataFrame:
-    """(conv_id, turn, role, text) of JSON records of mixed layouts; unknown ones give a row with a null turn."""
+    """(conv_id, turn, role, text) of JSON records of mixed layouts; unknown ones give a row with a null turn.
+
+    A record with an empty turn list gives no row: a conversation of no turns.
+    """
     known = _known()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,12 +161,14 @@ def canonical_from_json(records: DataFrame, record: str = "record", id_column: s
                     value = json.loads(text) if text else None
                 except ValueError:
                     value = None
-                layout = known.get(fingerprint(json_paths(value))) if isinstance(value, dict) else None
+                layout = layout_of(value, known) if isinstance(value, dict) else None
                 if layout is None:
                     rows.append((name, None, None, text))
                     continue
                 conv = name if name is not None else _get(value, layout.conv)
-                rows += [(None if conv is None else str(conv), i, r, t) for i, (r, t) in enumerate(turns_of(value, layout))]
+                first = _get(value, layout.order)  # where a record is one turn of a conversation
+                first = first if isinstance(first, int) else 0
+                rows += [(None if conv is None else str(conv), first + i, r, t) for i, (r, t) in enumerate(turns_of(value, layout))]
             cols = list(zip(*rows)) if rows else [[], [], [], []]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.string()))],

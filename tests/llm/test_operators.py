@@ -275,6 +275,23 @@ def test_chat_layouts(spark):
                                                      ("assistant", "c"), ("assistant", "x")])
 
 
+def test_chat_layouts_by_mapped_paths(spark):
+    """Further fields and empty turn lists do not hide a layout; a record that is one turn keeps its place."""
+    import json
+
+    records = [
+        {"id": "a", "messages": [{"role": "user", "content": "hi", "time": 3}, {"role": "gpt", "content": None}], "source": {"x": [1]}},
+        {"id": "b", "messages": []}, {"id": "c", "messages": [], "more": 1},
+        {"conv_id": 7, "turn": 4, "role": "human", "text": "t", "lang": "en"},
+        {"id": "d", "prompt": "p", "completion": "c", "system": "", "score": 0.5},
+        {"id": "e", "messages": "no list"}, {"id": "f", "messages": [{"role": "user"}]}, {"id": "g"}, {},
+    ]
+    got = chat.canonical_from_json(spark.createDataFrame([(json.dumps(r),) for r in records], "record string"))
+    assert chat.unknown_records(got).count() == 4
+    assert sorted(tuple(r) for r in got.where("turn IS NOT NULL").collect()) == [
+        ("7", 4, "user", "t"), ("a", 0, "user", "hi"), ("a", 1, "assistant", ""), ("d", 0, "user", "p"), ("d", 1, "assistant", "c")]
+
+
 def test_neighbours_recall(spark, space):
     random = np.random.default_rng(1)
     x = (random.normal(size=(10, 16))[random.integers(0, 10, 3000)] + random.normal(size=(3000, 16)) * 0.5).astype(np.float32)
