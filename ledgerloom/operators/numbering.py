@@ -2,33 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.onerow import attach
+from ledgerloom.sources.shared import written_once
 
+#: Where Spark's own row ids change from the partition's number to the place inside it.
+PLACE_BITS = 33
 
-def number_rows(rows: DataFrame, order: str, out: str, start: int = 1, steps: int = 1024) -> DataFrame:
+
+def number_rows(rows: DataFrame, order: str, out: str, start: int = 1) -> DataFrame:
     """1, 2, 3, ... in the order of a unique number column.
 
-    Approximate quantiles, worked out once, cut the rows into about equal steps
-    whatever the spread of the numbers. Rows are numbered within their step and
-    the counts of the steps before are added; there are at most ``steps`` counts.
+    Rows are dealt to partitions by ranges of the column, ordered inside each and
+    written once with their place, so that no second sample can draw other ranges.
+    A partition's rows are counted by its last place; the counts of the ranges
+    before, one per partition, are added. As many ranges as the session has shuffle
+    partitions (fewer where adaptive execution joins small ones), so a task holds
+    about its share whatever the spread of the numbers. Null comes first; equal
+    values are numbered in any order; no rows give no rows.
     """
-    shares = [i / steps for i in range(1, steps)]
-    cuts = sorted(set(rows.approxQuantile(order, shares, 1 / (4 * steps))))
-    splits = [float("-inf"), *cuts, float("inf")]
-    stepped = Bucketizer(splits=splits, inputCol="_x", outputCol="_step").transform(
-        rows.withColumn("_x", F.col(order).cast("double"))).drop("_x")
-    counts = stepped.groupBy("_step").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_step", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_step").orderBy(order)
+    placed = written_once(
+        rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_place", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_place", PLACE_BITS).alias("_part")
+    inside = F.col("_place").bitwiseAND((1 << PLACE_BITS) - 1)
+    counts = placed.groupBy(part).agg((F.max(inside) + 1).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     return (
-        stepped.join(offsets, "_step")
-        .withColumn(out, F.col("_before") + F.row_number().over(inside) + (start - 1))
-        .drop("_step", "_before")
+        placed.withColumn("_part", F.shiftright("_place", PLACE_BITS)).join(offsets, "_part")
+        .withColumn(out, F.col("_before") + inside + start)
+        .drop("_part", "_place", "_before")
     )
 
 

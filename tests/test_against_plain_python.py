@@ -140,10 +140,53 @@ def test_both_ways_of_searching_agree(spark):
 def test_numbers_have_no_gaps(spark):
     ids = [i * i for i in range(200)] + [10 ** 15]
     df = spark.createDataFrame([(i,) for i in ids], "k long").repartition(7)
-    got = {r.k: r.n for r in numbering.number_rows(df, "k", "n", steps=16).collect()}
+    got = {r.k: r.n for r in numbering.number_rows(df, "k", "n").collect()}
     assert got == {k: i + 1 for i, k in enumerate(sorted(ids))}
 
 
+def test_numbers_go_by_ranges_of_about_equal_size(spark):
+    n = 50_000
+    df = spark.range(n).select(F.pow(F.lit(1.0005), F.col("id")).alias("k"), "id")
+    numbered = numbering.number_rows(df.repartition(5, "id"), "k", "n")
+    assert numbered.where("n <> id + 1").count() == 0
+    ranged = df.repartitionByRange("k")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert ranged.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < n / 8 * 1.5
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert numbering.number_rows(df.limit(0), "k", "n").count() == 0
+
+
+def quantile_columns():
+    rng = np.random.default_rng(4)
+    return {"times": 1_700_000_000 + rng.permutation(1_000_000).astype(float), "one value": np.full(1_000_000, 7.5),
+            "half one value": np.where(np.arange(400_000) % 2, 3.0, rng.lognormal(0, 9, 400_000)),
+            "ends": np.array([-np.inf] * 40 + [np.inf] * 60 + list(range(100)), float)}
+
+
+@pytest.mark.parametrize("name", list(quantile_columns()))
+def test_quantiles_order_only_a_few_rows(spark, name, tmp_path):
+    import pandas as pd
+
+    values, most = quantile_columns()[name], 20_000 if name != "ends" else 10
+    pd.DataFrame({"x": values}).to_parquet(tmp_path / "x.parquet", row_group_size=50_000)
+    rows = spark.read.parquet(str(tmp_path / "x.parquet"))
+    shares = [0.01, 0.25, 0.5, 0.99]
+    total, _, held = distribution.brackets(rows, "x", shares, most)
+    assert total == len(values) and all(n <= most for i, (_, n) in held.items() if i % 2 == 0)
+    got = distribution.percentiles(rows, "x", shares, most).first()
+    if name == "ends":  # what lies at an infinite end has no distance to interpolate
+        got, shares = [got["p25"], got["p50"]], [0.25, 0.5]
+        values = np.sort(values)
+    assert np.allclose(list(got), np.percentile(values, [100 * s for s in shares]), rtol=1e-12)
+
+
+def test_quantiles_without_values_are_null(spark):
+    rows = spark.createDataFrame([(None,), (float("nan"),)], "x double")
+    assert list(distribution.percentiles(rows, "x", [0.5, 0.9]).first()) == [None, None]
+
+
 def test_upsert_twice_is_upsert_once(spark, tmp_path):
     schema = "id long, v string, version long, part string"
     table = deltas.DeltaTable(spark, str(tmp_path / "t"), schema, ["id"], ["version"], buckets=4)
