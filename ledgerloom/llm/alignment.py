@@ -137,40 +137,57 @@ class Remembered:
 
 # ------------------------------------------------------------------- alignment
 
+#: What a window or several in a row say: how many groups, the groups (each with a ";" behind it), the links as bytes of int64.
+Said = tuple[int, str, bytes]
+
+
+def _in_a_row(said: list[Said]) -> Said:
+    if len(said) == 1:
+        return said[0]
+    return sum([s[0] for s in said]), "".join([s[1] for s in said]), b"".join([s[2] for s in said])
+
+
+def _before(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
+
+
+def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and how often each occurs."""
+    ordered = np.sort(values)
+    first = np.flatnonzero(np.diff(ordered, prepend=ordered[:1] - 1))
+    return ordered[first], np.diff(first, append=len(ordered))
+
+
 class Windows:
-    """What windows say, by the ids of both sides: (groups, how many, links)."""
+    """What windows say, by the ids of both sides."""
 
     def __init__(self, a: Side, b: Side):
         self.a, self.b = a, b
-        self.size_a, self.size_b = a.size.tolist(), b.size.tolist()
-        self.name_a, self.name_b = [str(i) for i in range(len(self.size_a))], [str(i) for i in range(len(self.size_b))]
+        # an id is written with what follows it: within a group a comma, at its end the other side or the next group
+        self.written = [f"{i}{end}" for side, ends in ((a, ",|"), (b, ",;")) for i in range(len(side.size)) for end in ends]
         self.known = Remembered(REMEMBERED)
 
-    def _read(self, a: tuple, b: tuple) -> tuple:
-        """Both sides of a window spell the same bytes."""
-        size_a, size_b, name_a, name_b = self.size_a, self.size_b, self.name_a, self.name_b
-        if len(a) == 1 or len(b) == 1:  # one group: no end within is shared
-            return ",".join([name_a[i] for i in a]) + "|" + ",".join([name_b[i] for i in b]), 1, [i << 16 | j for i in a for j in b]
-        i = j = first_a = first_b = 0
-        groups, links = [], []
-        end_a, end_b = size_a[a[0]], size_b[b[0]]
-        while True:
-            links.append(a[i] << 16 | b[j])
-            if end_a < end_b:
-                i += 1
-                end_a += size_a[a[i]]
-            elif end_b < end_a:
-                j += 1
-                end_b += size_b[b[j]]
-            else:
-                i, j = i + 1, j + 1
-                groups.append(",".join([name_a[k] for k in a[first_a:i]]) + "|" + ",".join([name_b[k] for k in b[first_b:j]]))
-                if i == len(a):
-                    return ";".join(groups), len(groups), links
-                first_a, first_b = i, j
-                end_a, end_b = end_a + size_a[a[i]], end_b + size_b[b[j]]
-
-    def of(self, a: list[int], b: list[int]) -> tuple[list[tuple], list[int]]:
+    def _read(self, windows: list[tuple[tuple, tuple]]) -> list[Said]:
+        """Both sides of a window spell the same bytes, so laid end to end all windows are one long text."""
+        n_a, n_b = (np.fromiter((len(w[i]) for w in windows), np.int64, len(windows)) for i in (0, 1))
+        ids_a, ids_b = (np.fromiter(chain.from_iterable([w[i] for w in windows]), np.int64) for i in (0, 1))
+        end_a, end_b = np.cumsum(self.a.size[ids_a]), np.cumsum(self.b.size[ids_b])
+        last = end_a[np.cumsum(n_a) - 1]
+        # between two ends of either side, one token of each side goes on
+        ends, sides = _counted(np.concatenate((end_a, end_b)))
+        links = (ids_a[np.searchsorted(end_a, ends)] << 16 | ids_b[np.searchsorted(end_b, ends)]).tobytes()
+        shared = ends[sides == 2]
+        group_a, group_b = np.searchsorted(shared, end_a), np.searchsorted(shared, end_b)
+        codes = np.concatenate((2 * ids_a + (shared[group_a] == end_a), 2 * (len(self.a.size) + ids_b) + (shared[group_b] == end_b)))
+        order = np.argsort(np.concatenate((2 * group_a, 2 * group_b + 1)), kind="stable")
+        words = list(map(self.written.__getitem__, codes[order].tolist()))
+        to_word = np.cumsum(n_a + n_b).tolist()
+        to_link = (8 * np.searchsorted(ends, last, "right")).tolist()
+        to_group = np.searchsorted(shared, last, "right")
+        return [(n, "".join(words[w0:w1]), links[l0:l1]) for n, w0, w1, l0, l1 in zip(
+            np.diff(to_group, prepend=0).tolist(), [0, *to_word], to_word, [0, *to_link], to_link)]
+
+    def of(self, a: list[int], b: list[int]) -> tuple[list[Said], list[int]]:
         """The windows of a text from its ids on both sides, and the byte at which each begins."""
         ids_a, ids_b = np.array(a), np.array(b)
         end_a, end_b = np.cumsum(self.a.size[ids_a]), np.cumsum(self.b.size[ids_b])
@@ -179,29 +196,30 @@ class Windows:
         at_a, at_b = at_a[at_a > 0], at_b[at_b > 0]
         anchors, i, j = np.intersect1d(end_a[at_a - 1], end_b[at_b - 1], assume_unique=True, return_indices=True)
         cut_a, cut_b = at_a[i].tolist(), at_b[j].tolist()
-        known, out = self.known, []
-        for a0, a1, b0, b1 in zip([0, *cut_a], [*cut_a, len(a)], [0, *cut_b], [*cut_b, len(b)]):
-            key = (tuple(a[a0:a1]), tuple(b[b0:b1]))
-            window = known.get(key)
-            if window is None:
-                window = self._read(*key)
-                known.put(key, window)
-            out.append(window)
-        return out, [0, *anchors.tolist()]
+        a, b = tuple(a), tuple(b)
+        keys = [(a[a0:a1], b[b0:b1]) for a0, a1, b0, b1 in zip([0, *cut_a], [*cut_a, len(a)], [0, *cut_b], [*cut_b, len(b)])]
+        said = list(map(self.known.get, keys))
+        fresh = list(dict.fromkeys([key for key, s in zip(keys, said) if s is None]))
+        if fresh:
+            read = dict(zip(fresh, self._read(fresh)))
+            for key, s in read.items():
+                self.known.put(key, s)
+            said = [read[key] if s is None else s for key, s in zip(keys, said)]
+        return said, [0, *anchors.tolist()]
 
 
 class Texts:
-    """(ids on side A, ids on side B, windows) of whole texts; what lies between single spaces is worked out once and remembered."""
+    """(ids on side A, ids on side B, groups, links, groups as text) of whole texts; what lies between single spaces is worked out once and remembered."""
 
     def __init__(self, a: Side, b: Side):
         self.a, self.b, self.local = a, b, a.local and b.local
         self.windows, self.known = Windows(a, b), Remembered(REMEMBERED)
 
     def _one(self, text: str, x: list[int], y: list[int]) -> tuple | None:
-        """How many ids and which windows a text has, if both sides spell it."""
+        """How many ids a text has and what its windows say, if both sides spell it."""
         spelt = (" " + text).encode()
         if self.a.spells(x, spelt) and self.b.spells(y, spelt):
-            return len(x), len(y), self.windows.of(x, y)[0]
+            return len(x), len(y), *_in_a_row(self.windows.of(x, y)[0])
         return None
 
     def _together(self, parts: list[str]) -> Iterator[tuple | None]:
@@ -221,7 +239,7 @@ class Texts:
         n_a, n_b = (np.diff(np.searchsorted(np.cumsum(side.size[ids]), starts, "right")).tolist() for side, ids in ((self.a, x), (self.b, y)))
         cut = np.searchsorted(began, starts).tolist()
         for i in range(len(parts)):
-            yield n_a[i], n_b[i], windows[cut[i]: cut[i + 1]]
+            yield n_a[i], n_b[i], *_in_a_row(windows[cut[i]: cut[i + 1]])
 
     def _learn(self, fresh: list[str]) -> dict[str, tuple | None]:
         out = {}
@@ -234,20 +252,29 @@ class Texts:
             out[s] = self._one(s, x, y)
         return out
 
-    def of(self, texts: list[str]) -> Iterator[tuple[int, int, list[tuple]]]:
-        """Of each text; zeros and no windows if its ids do not spell a space and the text on both sides."""
+    def of(self, texts: list[str]) -> Iterator[tuple[int, int, int, bytes, str]]:
+        """Of each text; zeros, no links and no groups if its ids do not spell a space and the text on both sides."""
         cut = [(_SINGLE_SPACE.split(t) if self.local else [t]) if t else [] for t in texts]
         here = {s: self.known.get(s) for s in set(chain.from_iterable(cut))}
         for s, found in self._learn([s for s, found in here.items() if found is None]).items():
             here[s] = found
             if found is not None:
                 self.known.put(s, found)
+        # the stretches between spaces, numbered; their figures and links side by side
+        number = {s: i for i, s in enumerate(here)}
+        found = [f or (0, 0, 0, "", b"") for f in here.values()]
+        figures = np.array([f[:3] for f in found], np.int64).reshape(-1, 3)
+        n_links = np.array([len(f[4]) >> 3 for f in found], np.int64)
+        links, first = np.frombuffer(b"".join([f[4] for f in found]), np.int64), _before(n_links)
         for text, parts in zip(texts, cut):
-            found = [here[s] for s in parts]
-            if None not in found:
-                yield sum([f[0] for f in found]), sum([f[1] for f in found]), list(chain.from_iterable([f[2] for f in found]))
+            at = np.fromiter(map(number.__getitem__, parts), np.int64, len(parts))
+            n = n_links[at]  # a stretch that is spelt has links
+            if n.all():
+                place = np.repeat(first[at] - _before(n), n) + np.arange(n.sum())
+                yield *figures[at].sum(axis=0).tolist(), links[place].tobytes(), "".join([found[i][3] for i in at.tolist()])[:-1]
             else:
-                yield self._one(text, self.a.ids([text])[0], self.b.ids([text])[0]) or (0, 0, [])
+                n_a, n_b, n_groups, groups, pairs = self._one(text, self.a.ids([text])[0], self.b.ids([text])[0]) or (0, 0, 0, "", b"")
+                yield n_a, n_b, n_groups, pairs, groups[:-1]
 
 
 _NAMES = ["pair", "c", "row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times"]
@@ -273,12 +300,11 @@ def aligned(documents: DataFrame, a_vocabulary: str = A_VOCABULARY, b_vocabulary
                 kind, held, size = batch.column("doc_id").type, [], 0
                 for first, texts in _stretches(batch.column("text")):
                     done = []
-                    for n_a, n_b, windows in both.of(texts):
-                        links = np.array(list(chain.from_iterable([w[2] for w in windows])), np.int64)
-                        pair, times = np.unique(links, return_counts=True)
+                    for n_a, n_b, n_groups, links, groups in both.of(texts):
+                        pair, times = _counted(np.frombuffer(links, np.int64))
                         held.append((pair, times))
                         size += len(pair)
-                        done.append((row, n_a, n_b, sum([w[1] for w in windows]), len(links), ";".join([w[0] for w in windows]), pair, times))
+                        done.append((row, n_a, n_b, n_groups, len(links) >> 3, groups, pair, times))
                         row += 1
                     yield _text_rows(batch.column("doc_id").slice(first, len(texts)), done)
                     if size > HELD:
