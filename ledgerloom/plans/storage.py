@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import paths, records
 from ledgerloom.operators import decisions, numbering
+from ledgerloom.operators.onerow import attach
 from ledgerloom.plans.catalog import query
 from ledgerloom.plans.cleaning import american, day, exact, key, messy_amount, messy_date, total
 from ledgerloom.plans.edge import edge
@@ -17,6 +18,7 @@ from ledgerloom.plans.entities import AS_OF, Tables, money
 from ledgerloom.plans.findings import DAYS, billed, whole
 from ledgerloom.plans.scratch import new_folder
 from ledgerloom.sources import deltas, files, sinks
+from ledgerloom.sources.shared import written_once
 from ledgerloom.streaming import events
 
 # ------------------------------------------------------------------ JSON and CSV
@@ -419,6 +421,30 @@ def _(t):
     return t.spark.read.schema("prediction_id bigint, predicted_value double, actual_value double").parquet(f"{out}/rows")
 
 
+@query("stream_lapsed", """
+WITH seen AS (SELECT least(max(ts), max(ts + INTERVAL 5 HOURS) FILTER (event_id % 3 <> 0)) - INTERVAL 1 HOUR AS mark FROM events)
+SELECT event_id AS prediction_id, value AS predicted_value, CASE WHEN event_id % 3 <> 0 THEN value * 2 END AS actual_value
+FROM events, seen WHERE event_id % 3 <> 0 OR ts + INTERVAL 1 DAY < mark""", finance=False)
+def _(t):
+    """A prediction per event, in four deliveries by time, the stream started anew for each; two of three are answered, half of those twice, the others lapse."""
+    folder = new_folder(t.spark, "lapsed")
+    rows = t.read("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    ends = rows.agg(F.min("ts").alias("low"), ((F.max("ts").cast("double") - F.min("ts").cast("double")) / 4).alias("step"))
+    part = F.least(F.lit(3), F.floor((F.col("ts").cast("double") - F.col("low").cast("double")) / F.col("step")).cast("int"))
+    t.spark.createDataFrame([], rows.schema).write.parquet(f"{folder}/in")  # the stream's folder has to be there
+    dealt = written_once(attach(rows, ends).withColumn("part", part).select(*rows.columns, "part"), "deliveries")
+    stream = t.spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+    predicted = stream.select(F.col("event_id").alias("prediction_id"), F.col("ts").alias("predicted_at"), F.col("value").alias("predicted_value"))
+    answers = stream.where("event_id % 3 <> 0").select(
+        F.col("event_id").alias("prediction_id"), F.expr("ts + INTERVAL 5 HOURS").alias("actual_at"), (F.col("value") * 2).alias("actual_value"))
+    twice = answers.unionByName(answers.where("prediction_id % 2 = 0"))
+    outcome = events.predictions_answered_or_lapsed(predicted, twice).select("prediction_id", "predicted_value", "actual_value")
+    for i in range(4):
+        dealt.where(F.col("part") == i).drop("part").write.mode("append").parquet(f"{folder}/in")
+        events.run_to_files(outcome, f"{folder}/rows", f"{folder}/state")
+    return t.spark.read.schema("prediction_id bigint, predicted_value double, actual_value double").parquet(f"{folder}/rows")
+
+
 @query("stream_decisions", f"""
 , di AS (SELECT *, least({DAYS}, 365) AS days, CASE WHEN {DAYS} >= 60 THEN 3 ELSE 2 END AS sev FROM invoices
          WHERE status = 'UNPAID' AND {DAYS} >= 30)

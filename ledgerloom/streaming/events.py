@@ -70,6 +70,23 @@ def actuals_meet_predictions(predictions: DataFrame, actuals: DataFrame, horizon
     return p.join(a, near).select("prediction_id", "predicted_at", "actual_at", "predicted_value", "actual_value")
 
 
+def predictions_answered_or_lapsed(predictions: DataFrame, actuals: DataFrame, horizon: str = "1 day",
+                                   delay: str = "1 hour") -> DataFrame:
+    """Every prediction once: with its actual, or without one as soon as none can come any more.
+
+    Columns as for ``actuals_meet_predictions``. An actual that is delivered again
+    within the horizon counts once. A prediction goes out with nulls when the
+    watermark, the lesser of both streams', has passed its horizon; until then it
+    is kept. What arrives behind the watermark is left out: an actual too late for
+    the state leaves its prediction lapsed.
+    """
+    p = predictions.withWatermark("predicted_at", delay)
+    a = (actuals.withWatermark("actual_at", delay).dropDuplicatesWithinWatermark(["prediction_id"])
+         .withColumnRenamed("prediction_id", "answered"))
+    near = F.expr(f"answered = prediction_id AND actual_at >= predicted_at AND actual_at <= predicted_at + INTERVAL {horizon}")
+    return p.join(a, near, "leftOuter").select("prediction_id", "predicted_at", "actual_at", "predicted_value", "actual_value")
+
+
 def run_to_files(stream: DataFrame, out: str, checkpoint: str) -> None:
     """Process everything there is, append it to parquet files, stop."""
     (stream.writeStream.format("parquet").outputMode("append").option("path", out)
