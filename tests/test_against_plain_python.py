@@ -102,6 +102,15 @@ def test_entities_and_places(spark):
         assert [(e.text, e.start, e.end) for e in row.e] == want, repr(row.t)
 
 
+def test_asked_types_are_those_of_the_whole_list(spark):
+    body = "Acme Gamma Ltd, 12345678901234, compta@exemple.fr, 01 23 45 67 89, FR12345678901 Inc and Beta SARL"
+    rows = spark.createDataFrame([(body,), ("",), (None,)], "t string").coalesce(1)
+    for kinds in (["SIRET", "EMAIL"], ["ORGANIZATION"], ["PHONE", "VAT_NUMBER"], []):
+        got = rows.select(text.entities("t").alias("every"), text.entities("t", kinds).alias("some")).collect()
+        for r in got:
+            assert r.some == (None if r.every is None else [e for e in r.every if e.type in kinds])
+
+
 def test_no_overlaps_left(spark):
     df = spark.createDataFrame([("Acme Gamma Ltd SA and 12345678901234 Inc",)], "t string")
     kept = df.select(text.without_overlaps(text.entities("t")).alias("e")).first().e
