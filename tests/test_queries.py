@@ -58,3 +58,10 @@ def test_importing_needs_no_session():
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_bills_pairs_finds_the_roles_once(spark):
+    from ledgerloom.plans import all_queries
+
+    plan = all_queries()["bills_pairs"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "rlike" not in plan.lower()
