@@ -3,11 +3,13 @@
 The attention model has one block (attention over the last ``WINDOW`` ids, then a
 small feed-forward layer) and predicts an id in two steps, its class and the id
 within the class; the most frequent ids are classes of their own, the others share
-classes by frequency. It starts from a short run over a bounded sample and is then
-trained over all training documents: in each of ``ROUNDS`` every task goes on from
-the common network with windows at random places of its own rows, one window for
-``SPAN`` windows of text, and the networks are averaged by their windows, a few at
-a time in further tasks. Steps so grow with the corpus and no gradient travels.
+classes by frequency. It learns from every id of every training document: in each of
+``ROUNDS`` every task goes on from the common network with its share of the
+windows of its own rows, and the networks are averaged by their windows, a few at
+a time in further tasks. The rounds together take each window once, so steps grow
+with the corpus and no gradient travels. Only the weights that the first round
+begins with, which would be random otherwise, come from a short run over a few
+documents; no count, class or bias does.
 An id that training documents lack shares a small part of the last class. A text is read in
 overlapping windows of ``WINDOW`` ids, each id scored once, with at least
 ``CONTEXT`` ids of context once there are so many. Texts are cut into ids once;
@@ -36,10 +38,10 @@ from ledgerloom.llm import common as C
 from ledgerloom.llm.tokens import VOCABULARY, Encoder, read_ranks
 
 WINDOW, CONTEXT, WIDTH, HIDDEN, CLASSES = 48, 12, 24, 48, 192
-#: The common start is trained by this many steps on at most this many documents, those with the smallest hash of the id.
+#: The weights before the first round: this many steps on at most this many documents, those with the smallest hash of the id.
 TRAIN_DOCUMENTS, STEPS, BATCH = 1500, 500, 64
-#: Learning rate of each round over all training documents, and the windows of text for each window learnt from.
-ROUNDS, SPAN = (3e-3, 1e-3), 16
+#: Learning rate of each round, and the windows of text for each window learnt from over all rounds: every one.
+ROUNDS, SPAN = (3e-3, 1e-3), 1
 #: Networks averaged in one task, and ids a task holds to draw windows from.
 FAN, HELD_IDS = 64, 1 << 20
 BROADCAST_WORDS = 1 << 20
@@ -143,52 +145,77 @@ def _log_of(p: dict, x: np.ndarray, first: int, wanted: np.ndarray, target: np.n
     return _log_softmax_at(p, y, target), y
 
 
+def _added(rows: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """The sums of the rows that share a place in ``at``, at their places of ``size``."""
+    out = np.zeros((size, rows.shape[1]), rows.dtype)
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    out[at[first]] = np.add.reduceat(rows[order], first, axis=0)
+    return out
+
+
 def _gradients(p: dict, x: np.ndarray, target: np.ndarray, slots: np.ndarray | None = None, plan: dict | None = None) -> dict:
     """Gradients of the mean loss of windows; ``slots`` (batch, WINDOW + 1) are those of the places and of what follows."""
     f = _forward(p, x, None if slots is None else slots[:, :-1])
-    z = f["y"] @ p["u"] + p["b"]
-    z = np.exp(z - z.max(2, keepdims=True))
-    z /= z.sum(2, keepdims=True)
-    np.put_along_axis(z, target[..., None], np.take_along_axis(z, target[..., None], 2) - 1, 2)
-    z /= target.size
+    flat_y, flat_target, share = f["y"].reshape(-1, WIDTH), target.ravel(), f["y"].dtype.type(1 / target.size)
+    flat = np.empty_like(flat_y)
+    g = {"u": np.zeros_like(p["u"]), "b": np.zeros_like(p["b"])}
+    for a in range(0, len(flat), TOGETHER * 16):  # so few that their classes stay in the cache
+        y = flat_y[a: a + TOGETHER * 16]
+        z = y @ p["u"]
+        z += p["b"]
+        np.clip(z, -_FAR, _FAR, out=z)
+        np.exp(z, out=z)
+        z *= (share / (z @ _ONES[:CLASSES]))[:, None]
+        z[np.arange(len(z)), flat_target[a: a + len(z)]] -= share
+        g["u"] += y.T @ z
+        g["b"] += z.sum(0)
+        np.matmul(z, p["u"].T, out=flat[a: a + len(z)])
+    dy = flat.reshape(f["y"].shape)
 
     def outer(a, b):
         return a.reshape(-1, a.shape[-1]).T @ b.reshape(-1, b.shape[-1])
 
-    g = {"u": outer(f["y"], z), "b": z.sum((0, 1))}
-    dy = z @ p["u"].T
     g["in"], g["ein"] = np.zeros_like(p["in"]), np.zeros_like(p["ein"])
     if slots is not None:
-        flat, y, follows = dy.reshape(-1, WIDTH), f["y"].reshape(-1, WIDTH), slots[:, 1:].ravel()
+        follows = slots[:, 1:].ravel()
         shared = np.flatnonzero(follows < len(p["in"]))
         for some, a, b in _groups(follows[shared], plan["cut"]):
             some = shared[some]
-            w = y[some] @ p["in"][a:b].T + plan["bias"][a:b]
-            w = np.exp(w - w.max(1, keepdims=True))
-            w /= w.sum(1, keepdims=True)
-            w[np.arange(len(some)), follows[some] - a] -= 1
-            w /= target.size
-            g["in"][a:b] = w.T @ y[some]
+            y = flat_y[some]
+            w = y @ p["in"][a:b].T
+            w += plan["bias"][a:b]
+            w -= w.max(1, keepdims=True)
+            np.exp(w, out=w)
+            w *= (share / w.sum(1))[:, None]
+            w[np.arange(len(some)), follows[some] - a] -= share
+            g["in"][a:b] = w.T @ y
             flat[some] += w @ p["in"][a:b]
     g["w2"] = outer(f["h"], dy)
-    dh = (dy @ p["w2"].T) * (f["h"] > 0)
+    dh = dy @ p["w2"].T
+    dh *= f["h"] > 0
     g["w1"], g["b1"] = outer(f["c"], dh), dh.sum((0, 1))
     dc = dh @ p["w1"].T
     de, dmo = dc[..., :WIDTH] + dy, dc[..., WIDTH:] + dy
     g["o"] = outer(f["m"], dmo)
     dm = dmo @ p["o"].T
-    da, dv = dm @ f["v"].transpose(0, 2, 1), f["a"].transpose(0, 2, 1) @ dm
-    ds = f["a"] * (da - (da * f["a"]).sum(2, keepdims=True)) / np.float32(np.sqrt(WIDTH))
+    ds, dv = dm @ f["v"].transpose(0, 2, 1), f["a"].transpose(0, 2, 1) @ dm
+    ds -= (dm * f["m"]).sum(2, keepdims=True)
+    ds *= f["a"]
+    ds *= np.float32(1 / np.sqrt(WIDTH))
     dq, dk = ds @ f["k"], ds.transpose(0, 2, 1) @ f["q"]
     for name, part in (("q", dq), ("k", dk), ("v", dv)):
         g[name] = outer(f["e"], part)
-        de = de + part @ p[name].T
+        de += part @ p[name].T
     g["pos"] = de.sum(0)
-    g["emb"] = np.zeros_like(p["emb"])
-    np.add.at(g["emb"], x, de)
+    rows = de.reshape(-1, WIDTH)
+    g["emb"] = _added(rows, x.ravel(), CLASSES)
     if slots is not None:
-        np.add.at(g["ein"], slots[:, :-1], de)
-        g["ein"][-1] = 0  # ids with a class of their own
+        seen = slots[:, :-1].ravel()
+        some = np.flatnonzero(seen < len(p["in"]))  # the others have a class of their own
+        if len(some):
+            g["ein"] = _added(rows[some], seen[some], len(p["ein"]))
     return g
 
 
@@ -200,10 +227,12 @@ class Trainer:
         self.m = {n: np.zeros_like(w) for n, w in p.items()}
         self.s = {n: np.zeros_like(w) for n, w in p.items()}
 
-    def step(self, line: np.ndarray, rate: float, batch: int = BATCH) -> None:
-        """One step on windows at random places of a line longer than a window."""
+    def step(self, line: np.ndarray, rate: float, places: np.ndarray | None = None) -> None:
+        """One step on windows at some places of a line longer than a window, or at random ones."""
         self.steps += 1
-        cut = line[self.random.integers(0, len(line) - WINDOW, batch)[:, None] + np.arange(WINDOW + 1)]
+        if places is None:
+            places = self.random.integers(0, len(line) - WINDOW, BATCH)
+        cut = line[places[:, None] + np.arange(WINDOW + 1)]
         kinds, slots = self.plan["kind"][cut], self.plan["slot"][cut]
         rate *= min(1, self.steps / 30)
         for n, g in _gradients(self.p, kinds[:, :-1], kinds[:, 1:], slots, self.plan).items():
@@ -370,20 +399,28 @@ def _network_row(windows: int, weights: np.ndarray) -> pa.RecordBatch:
                                       ["windows", "weights"])
 
 
+def _places(size: int, turn: int, random: np.random.Generator) -> np.ndarray:
+    """Where the windows of a turn begin in a line longer than a window, in random order; those of all turns hold every id
+    but the line's first as one to predict."""
+    places = np.minimum(np.arange(0, size - 1, WINDOW * SPAN), size - 1 - WINDOW)[turn::len(ROUNDS)]
+    return random.permutation(places)
+
+
 def _learn(shared, rate: float, turn: int, end: int):
-    """The network after windows of the task's rows, one for ``SPAN`` windows of text over all rounds."""
+    """The network after the turn's windows of the task's rows; the rate falls to a tenth along each stretch of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, plan = shared.value
         trainer = Trainer({n: w.copy() for n, w in net.items()}, plan, np.random.default_rng([turn, TaskContext.get().partitionId()]))
-        held, size, windows = [], 0, 0
+        first = np.array([end], np.uint16)  # what a text's first id follows
+        held, size, windows = [first], 0, 0
 
         def learn():
             line = _long_enough(np.concatenate(held))
-            wanted = -(-size // (WINDOW * SPAN * len(ROUNDS)))
-            for first in range(0, wanted, BATCH):
-                trainer.step(line, rate, min(BATCH, wanted - first))
-            return wanted
+            places = _places(len(line), turn, trainer.random)
+            for a in range(0, len(places), BATCH):
+                trainer.step(line, rate * (1 - 0.9 * a / len(places)), places[a: a + BATCH])
+            return len(places)
 
         for batch in batches:
             for ids in batch.column("ids"):
@@ -391,8 +428,8 @@ def _learn(shared, rate: float, turn: int, end: int):
                 size += len(held[-1])
                 if size >= HELD_IDS:
                     windows += learn()
-                    held, size = [], 0
-        if held:
+                    held, size = [first], 0
+        if size:
             windows += learn()
         if windows:
             yield _network_row(windows, _flat(trainer.p))

@@ -421,6 +421,23 @@ def test_training_covers_all_rows_and_grows_with_them(spark, space):
     assert all((got[n] == start[n]).all() for n in start)
 
 
+@pytest.mark.parametrize("size", [scoring.WINDOW + 1, scoring.WINDOW + 2, 2 * scoring.WINDOW + 1, 1000, 48001])
+def test_every_id_is_learnt_from_over_the_rounds(size):
+    places = [scoring._places(size, turn, np.random.default_rng(turn)) for turn in range(len(scoring.ROUNDS))]
+    told = np.bincount((np.concatenate(places)[:, None] + np.arange(1, scoring.WINDOW + 1)).ravel(), minlength=size)
+    assert told[0] == 0 and (told[1:] > 0).all() and len(told) == size and told.sum() < size + scoring.WINDOW
+
+
+def test_the_rounds_hold_as_many_windows_as_the_text(spark, space):
+    random, plan = np.random.default_rng(8), small_plan()
+    seen = np.flatnonzero(np.arange(400) % 3 != 1).astype(np.uint16)
+    texts = spark.createDataFrame([(random.choice(seen, n).tobytes(),) for n in (5, 700, 3000, 3000, 9000)], "ids binary").coalesce(1)
+    shared = spark.sparkContext.broadcast((scoring._start(random, len(plan["bias"])), plan))
+    windows = sum(r.windows for turn in range(len(scoring.ROUNDS))
+                  for r in texts.mapInArrow(scoring._learn(shared, 1e-3, turn, 400), scoring._NETWORK).collect())
+    assert windows == -(-(5 + 700 + 3000 + 3000 + 9000 + 5) // scoring.WINDOW)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
