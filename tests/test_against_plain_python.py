@@ -111,6 +111,31 @@ def test_asked_types_are_those_of_the_whole_list(spark):
             assert r.some == (None if r.every is None else [e for e in r.every if e.type in kinds])
 
 
+def test_entity_texts_and_parts_of_texts_lose_no_match(spark):
+    """Texts and places against each pattern over the whole text, with marks, combining letters and odd cases of letters."""
+    rng = random.Random(5)
+    bits = ["Acme Sarl", "Gamma İnc", "Beta ınc", "Zeta \u017fas", "Acme SA\u0301", "SA", "LTD", "\u2003AG", "a@b.fr", "a@b.fr\u0301", "x@y", "@",
+            "a@b.c|d", "é@b.frx", "\ue000", "\ue001", "01 23 45 67 89", "+33\u00a0612345678", "12345678901234", "\u0661" * 14, "FR12345678901",
+            "\U0001d400", "Ünder GmbH", "\n", "a.b@c.de@f.gh", "Corp\U0001f600", "7"]
+    texts = ["".join(rng.choice(bits) + rng.choice([" ", "", ",", "\n", "-"]) for _ in range(rng.randint(0, 10))) for _ in range(600)]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    plain = F.translate("t", "\ue000\ue001", "  ")
+    patterns = [(p, kind, 0) for p, kind, *_ in text.PLAIN_PATTERNS] + [(p, "ORGANIZATION", 2) for p in text.COMPANY_PATTERNS] + [
+        (p, kind, 0) for p, kind, *_ in text.CONTACT_PATTERNS]
+    rows = df.select("t", text.entities("t").alias("e"), text.entity_texts("t").alias("x"), text.entity_texts("t", ["EMAIL"]).alias("mail"), F.array(
+        *[F.regexp_extract_all(plain, F.lit(p), F.lit(group)) for p, _, group in patterns]).alias("want")).collect()
+    assert sum(len(r.e) for r in rows if r.t is not None) > 300
+    for r in rows:
+        if r.t is None:
+            assert r.e is None and r.x is None
+            continue
+        want = [(kind, m) for (_, kind, _), found in zip(patterns, r.want) for m in found]
+        assert [(e.type, e.text) for e in r.e] == [tuple(x) for x in r.x] == want, repr(r.t)
+        assert [tuple(x) for x in r.mail] == [w for w in want if w[0] == "EMAIL"]
+        shown = r.t.translate({0xe000: " ", 0xe001: " "})
+        assert all(shown[e.start: e.end] == e.text for e in r.e)
+
+
 def test_no_overlaps_left(spark):
     df = spark.createDataFrame([("Acme Gamma Ltd SA and 12345678901234 Inc",)], "t string")
     kept = df.select(text.without_overlaps(text.entities("t")).alias("e")).first().e
