@@ -15,17 +15,20 @@ ENGLISH = ["january", "february", "march", "april", "may", "june", "july", "augu
            "october", "november", "december"]
 FRENCH = ["janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre",
           "octobre", "novembre", "décembre"]
+ENGLISH_NUMBERS = {n: i for i, m in enumerate(ENGLISH, 1) for n in (m, m[:3])}
+FRENCH_NUMBERS = {m: i for i, m in enumerate(FRENCH, 1)}
 FRENCH_SHORT = {"janv": 1, "févr": 2, "avr": 4, "juil": 7, "sept": 9, "oct": 10, "nov": 11, "déc": 12}
 
-# The forms of a date in a text; a written month is tried from the start of its word only, once per word
-DATE_PATTERN = (r"(?U)\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}|\d{2}-\d{2}-\d{4}"
-                r"|(?:(?<!\w)|\G)\w++ \d{1,2}, \d{4}|\d{1,2} \w++ \d{4}")
+# The forms of a date in a text. No two of them fit at one place, so those that begin with a digit share
+# their first digits; a written month is tried from the start of its word only, once per word
+DIGIT_FIRST = r"(?U)\d(?:\d(?:/\d{2}/\d{4}|\.\d{2}\.\d{4}|-\d{2}-\d{4}|\d{2}-\d{2}-\d{2})|\d? \w++ \d{4})"
+DATE_PATTERN = DIGIT_FIRST + r"|(?:(?<!\w)|\G)\w++ \d{1,2}, \d{4}"
 
 
 def ymd(y: Column, m: Column, d: Column) -> Column:
-    """A date from year, month and day; null when there is no such day."""
+    """A date from a year of four digits, month and day; null when there is no such day."""
     dash = F.lit("-")
-    return F.try_to_date(F.concat(y, dash, m, dash, d), "y-M-d")
+    return F.concat(y, dash, m, dash, d).try_cast("date")
 
 
 def _month_number(name: Column, numbers: dict[str, int]) -> Column:
@@ -34,13 +37,12 @@ def _month_number(name: Column, numbers: dict[str, int]) -> Column:
 
 
 def _english_month(name: Column) -> Column:
-    full = {m: i for i, m in enumerate(ENGLISH, 1)}
-    return _month_number(name, full | {m[:3]: i for m, i in full.items()})
+    return _month_number(name, ENGLISH_NUMBERS)
 
 
 def _french_month(lower: Column) -> Column:
     """The month whose name stands anywhere in the text."""
-    names = {m: i for i, m in enumerate(FRENCH, 1)} | FRENCH_SHORT
+    names = FRENCH_NUMBERS | FRENCH_SHORT
     return _month_number(F.regexp_extract(lower, "(" + "|".join(names) + ")", 1), names)
 
 
@@ -56,10 +58,14 @@ def parse_date(c: Column | str, prefer_european: bool = True) -> Column:
     month would be above 12. Two-digit years from 69 on belong to the 1900s.
     """
 
-    def iso(y: Column, _: Column, m: Column, d: Column) -> Column:
-        return ymd(y, m, d)
+    def iso(text: Column) -> Column:
+        return ymd(F.substring(text, 1, 4), F.substring(text, 6, 2), F.substring(text, 9, 2))
 
-    def numeric(a: Column, sign: Column, b: Column, y: Column) -> Column:
+    def numeric(text: Column) -> Column:
+        a, sign, b = F.substring(text, 1, 2), F.substring(text, 3, 1), F.substring(text, 4, 2)
+        return let(F.regexp_extract(F.substring(text, 7, 4), r"^\d+", 0), lambda y: by_place(a, sign, b, y))
+
+    def by_place(a: Column, sign: Column, b: Column, y: Column) -> Column:
         year = F.when(F.length(y) == 4, y).when(y >= "69", F.concat(F.lit("19"), y)).otherwise(F.concat(F.lit("20"), y))
         month, other = (b, a) if prefer_european else (a, b)
         turned = (month > "12") & (other <= "12")
@@ -71,16 +77,21 @@ def parse_date(c: Column | str, prefer_european: bool = True) -> Column:
             day, year = F.get(n, F.lit(0)), F.get(n, F.lit(1))
             full = F.when(F.length(year) == 4, year.try_cast("int")).when(
                 F.length(year) < 4, year.try_cast("int") + 2000)
-            return F.when(F.length(day) <= 2, ymd(full, _french_month(text), day))
+            return F.when(F.length(day) <= 2, ymd(F.lpad(full.cast("string"), 4, "0"), _french_month(text), day))
 
         return let(F.regexp_extract_all(text, F.lit(r"\d+"), F.lit(0)), build)
 
+    def worded(parts: Column) -> Column:
+        day, month, year = (F.get(parts, F.lit(i)) for i in range(3))
+        return ymd(F.substring(year, 1, 4), _month_number(month, ENGLISH_NUMBERS | FRENCH_NUMBERS), day)
+
     def read(text: Column) -> Column:
         return F.coalesce(
-            _groups(text, r"^(\d{4})([-/])(\d{2})\2(\d{2})$", 4, iso),
-            _groups(text, r"^(\d{2})([./-])(\d{2})\2(\d{4}|(?<=[.-])\d{2})$", 4, numeric),
+            # the places of these are fixed, but for the length of the year at the end
+            F.when(text.rlike(r"^(\d{4})([-/])(\d{2})\2(\d{2})$"), iso(text)),
+            F.when(text.rlike(r"^(\d{2})([./-])(\d{2})\2(\d{4}|(?<=[.-])\d{2})$"), numeric(text)),
             _groups(text, r"^([a-z]+) (\d{1,2}), (\d{4})$", 3, lambda m, d, y: ymd(y, _english_month(m), d)),
-            _groups(text, r"^(\d{1,2}) ([a-z]+) (\d{4})$", 3, lambda d, m, y: ymd(y, _english_month(m), d)),
+            F.when(text.rlike(r"^\d{1,2} [a-zéû]+ \d{4}$"), let(F.split(text, " "), worded)),
             F.when(text.rlike(r"[a-z]"), french(text)),
         )
 
@@ -106,7 +117,10 @@ def relative_date(c: Column | str, as_of: dt.date) -> Column:
 
 def extract_dates(c: Column | str, prefer_european: bool = True) -> Column:
     """Every readable date of a text, in the order of the text."""
-    found = F.regexp_extract_all(col(c), F.lit(DATE_PATTERN), F.lit(0))
+    text = col(c)
+    # a month before its day is followed by a comma, so most texts need no look at every word
+    found = F.when(text.contains(", "), F.regexp_extract_all(text, F.lit(DATE_PATTERN), F.lit(0))).otherwise(
+        F.regexp_extract_all(text, F.lit(DIGIT_FIRST), F.lit(0)))
     return F.filter(F.transform(found, lambda x: parse_date(x, prefer_european)), lambda x: x.isNotNull())
 
 
