@@ -15,20 +15,21 @@ from ledgerloom.functions.dates import norm_date, parse_date
 CORRUPT = "_corrupt_record"
 
 
-def _json(spark: SparkSession, path: str, schema: str, whole_file: bool) -> DataFrame:
-    """Rows of the schema with ``source_file``; an unreadable record keeps its text in ``_corrupt_record``.
+def _json(spark: SparkSession, path: str, schema: str, whole_file: bool, good: bool = False) -> DataFrame:
+    """Rows of the schema with ``source_file``; an unreadable record keeps its text in ``_corrupt_record``, or is left out
+    with ``good``.
 
     Records are read as text and opened by ``from_json``: rows of Spark's JSON
-    reader could not be split into good and bad without being stored first.
+    reader could not be split into good and bad without being stored first. Good ones are taken from a list of one, since
+    a condition on what is opened would move below the opening and open every record twice.
     """
     text = spark.read.option("wholetext", whole_file).option("recursiveFileLookup", True).text(path)
     opened = F.from_json("value", f"{schema}, {CORRUPT} string",
                          {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    return (
-        text.where(F.trim("value") != "")
-        .select(opened.alias("r"), F.col("_metadata.file_path").alias("source_file"))
-        .select("r.*", "source_file")
-    )
+    rows, source = text.where(F.trim("value") != ""), F.col("_metadata.file_path").alias("source_file")
+    if good:
+        return rows.select(F.inline(F.filter(F.array(opened), lambda r: r[CORRUPT].isNull())), source)
+    return rows.select(opened.alias("r"), source).select("r.*", "source_file")
 
 
 def raw_invoices(spark: SparkSession, path: str, whole_file: bool = True) -> DataFrame:
@@ -37,18 +38,15 @@ def raw_invoices(spark: SparkSession, path: str, whole_file: bool = True) -> Dat
 
 
 def read_invoices(spark: SparkSession, path: str, whole_file: bool = True) -> DataFrame:
-    raw = raw_invoices(spark, path, whole_file)
-    return records.normalise_invoices(raw.where(F.col(CORRUPT).isNull()))
+    return records.normalise_invoices(_json(spark, path, records.INVOICE_SCHEMA, whole_file, good=True))
 
 
 def read_contracts(spark: SparkSession, path: str, whole_file: bool = True) -> DataFrame:
-    raw = _json(spark, path, records.CONTRACT_SCHEMA, whole_file)
-    return records.normalise_contracts(raw.where(F.col(CORRUPT).isNull()))
+    return records.normalise_contracts(_json(spark, path, records.CONTRACT_SCHEMA, whole_file, good=True))
 
 
 def read_entries(spark: SparkSession, path: str, whole_file: bool = True) -> DataFrame:
-    raw = _json(spark, path, records.ENTRY_SCHEMA, whole_file)
-    return records.normalise_entries(raw.where(F.col(CORRUPT).isNull()))
+    return records.normalise_entries(_json(spark, path, records.ENTRY_SCHEMA, whole_file, good=True))
 
 
 LEDGER_COLUMNS = ["date", "account", "account_name", "description", "debit", "credit", "reference"]

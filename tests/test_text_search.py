@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import amounts, dates, text
 from ledgerloom.plans.entities import Tables
 from ledgerloom.plans.texts import invoice_texts
+from ledgerloom.sources import files
 from tests.conftest import SF
 
 #: The forms of a date one by one.
@@ -43,3 +44,11 @@ def test_invoice_rows_move_before_their_texts_are_made(spark):
     plan = invoice_texts(Tables(spark, SF)).select("text")._jdf.queryExecution().optimizedPlan().toString()
     top = plan.split("RepartitionByExpression")[0]
     assert "Facture" in top and "RepartitionByExpression" in plan
+
+
+def test_a_record_is_opened_once(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"id": "1", "debit": "1,250.5", "credit": ""}\n{"id": "2", "debit"\n{"id": "3", "entry_date": "05/06/2024"}\n')
+    rows = files.read_entries(spark, str(tmp_path), whole_file=False)
+    assert rows.select("entry_id", "debit")._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    got = sorted((r.entry_id, str(r.date), r.debit, r.credit) for r in rows.collect())
+    assert got == [("1", "None", 1250.5, 0.0), ("3", "2024-06-05", 0.0, 0.0)]
