@@ -6,6 +6,8 @@ Spark's JSON reader then hands over an object's text, which is opened here.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,15 +63,21 @@ def first_text(*cols: Column | str, default: str | Column | None = None) -> Colu
     return F.coalesce(*found)
 
 
+def _where_given(cols: tuple[Column | str, ...], read: Callable[[Column], Column]) -> list[Column]:
+    """``read`` over each column; the many names that a record lacks cost no reading."""
+    given = [F.col(c) if isinstance(c, str) else c for c in cols]
+    return [F.when(c.isNotNull() & (c != ""), read(c)) for c in given]
+
+
 def first_number(*cols: Column | str, default: float | None = None) -> Column:
-    found = [parse_number(c) for c in cols]
+    found = _where_given(cols, parse_number)
     if default is not None:
         found.append(F.lit(float(default)))
     return F.coalesce(*found)
 
 
 def first_date(*cols: Column | str) -> Column:
-    return F.coalesce(*[parse_date(c) for c in cols])
+    return F.coalesce(*_where_given(cols, parse_date))
 
 
 def as_fraction(rate: Column) -> Column:
