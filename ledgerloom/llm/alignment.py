@@ -1,11 +1,9 @@
 """Alignment of two tokenizers over the same texts, and how often their tokens meet.
 
-A text is tokenised whole by both (A with a space put before it, which B puts
-there itself). Where a token of either begins with the space mark at the same
-byte, both have a token end just before: those verified shared ends are anchors,
-and between them lie windows of a few token ids of each side. What a window says
-(its groups between shared ends, its links) depends on its ids alone, so it is
-worked out once per pair of id tuples and remembered.
+A text is tokenised by both (A with a space put before it, which B puts there
+itself). Both spell the same bytes, so marks on the bytes where their tokens end
+say all: an end of both closes a group, and between two ends of either one token
+of each side goes on, which is a link.
 
 Two tokens are linked where their bytes overlap; an id pair counts its links over
 all texts. Counts are summed in each task before the shuffle. The most frequent
@@ -43,8 +41,8 @@ from ledgerloom.llm import common as C
 
 A_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 B_VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Windows, and stretches between spaces, remembered per task; links counted there before they are given out.
-REMEMBERED, HELD = 200_000, 1 << 20
+#: Stretches between spaces remembered per task; links counted there before they are given out.
+REMEMBERED, HELD = 400_000, 1 << 20
 SENT_PAIRS = 1 << 20
 #: Texts tokenised at once, in bytes, or one longer text.
 STRETCH = 1 << 19
@@ -64,7 +62,7 @@ def byte_letters() -> dict[str, int]:
 
 
 class Side:
-    """One tokenizer: ids of texts, the bytes of an id, and which ids begin with a space.
+    """One tokenizer: ids of texts and the bytes of an id.
 
     ``local``: its ids before and after a single space between printable ASCII
     characters do not depend on each other.
@@ -73,7 +71,6 @@ class Side:
     def __init__(self, entries: list[bytes], ids: Callable[[list[str]], list[list[int]]], local: bool):
         self.entries, self.ids, self.local = entries, ids, local
         self.size = np.array([len(e) for e in entries], np.int64)
-        self.spaced = np.array([e[:1] == b" " for e in entries], bool)
 
     def spells(self, ids: Iterable[int], text: bytes) -> bool:
         return b"".join(map(self.entries.__getitem__, ids)) == text
@@ -117,36 +114,8 @@ def pieces(model: bytes) -> Side:
     return Side([entry(name) for name in names], lambda texts: coder.encode(texts, num_threads=1), local)
 
 
-class Remembered:
-    """A dictionary of the latest entries: when ``most`` are in, the older half of them goes."""
-
-    def __init__(self, most: int):
-        self.most, self.new, self.old = most // 2, {}, {}
-
-    def get(self, key):
-        value = self.new.get(key)
-        if value is None and (value := self.old.get(key)) is not None:
-            self.new[key] = value
-        return value
-
-    def put(self, key, value) -> None:
-        if len(self.new) >= self.most:
-            self.new, self.old = {}, self.new
-        self.new[key] = value
-
-
 # ------------------------------------------------------------------- alignment
 
-#: What a window or several in a row say: how many groups, the groups (each with a ";" behind it), the links as bytes of int64.
-Said = tuple[int, str, bytes]
-
-
-def _in_a_row(said: list[Said]) -> Said:
-    if len(said) == 1:
-        return said[0]
-    return sum([s[0] for s in said]), "".join([s[1] for s in said]), b"".join([s[2] for s in said])
-
-
 def _before(sizes: np.ndarray) -> np.ndarray:
     return np.cumsum(sizes) - sizes
 
@@ -158,123 +127,103 @@ def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[first], np.diff(first, append=len(ordered))
 
 
-class Windows:
-    """What windows say, by the ids of both sides."""
+#: What parts of a text say: of each (ids on side A, ids on side B, groups, links), the links of all, and the groups of each
+#: (with a ";" behind each group).
+Said = tuple[np.ndarray, np.ndarray, list[str]]
+_NOTHING = np.zeros((1, 4), np.int64), np.zeros(0, np.int64), [""]
+
+
+class Texts:
+    """(ids on side A, ids on side B, groups, links, groups as text) of whole texts; what lies between single spaces is worked out
+    once and remembered, until ``REMEMBERED`` stretches are known."""
 
     def __init__(self, a: Side, b: Side):
-        self.a, self.b = a, b
+        self.a, self.b, self.local = a, b, a.local and b.local
         # an id is written with what follows it: within a group a comma, at its end the other side or the next group
         self.written = [f"{i}{end}" for side, ends in ((a, ",|"), (b, ",;")) for i in range(len(side.size)) for end in ends]
-        self.known = Remembered(REMEMBERED)
+        self._forget()
+
+    def _forget(self) -> None:
+        # the place of each stretch among the figures and groups
+        self.number: dict[str, int] = {}
+        self.figures, self.links, self.groups = np.zeros((0, 4), np.int64), np.zeros(0, np.int64), []
 
-    def _read(self, windows: list[tuple[tuple, tuple]]) -> list[Said]:
-        """Both sides of a window spell the same bytes, so laid end to end all windows are one long text."""
-        n_a, n_b = (np.fromiter((len(w[i]) for w in windows), np.int64, len(windows)) for i in (0, 1))
-        ids_a, ids_b = (np.fromiter(chain.from_iterable([w[i] for w in windows]), np.int64) for i in (0, 1))
+    def _read(self, a: list[int], b: list[int], starts: np.ndarray) -> Said:
+        """Both sides spell the same bytes; parts begin and end at ``starts``, where tokens of both sides end."""
+        ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
         end_a, end_b = np.cumsum(self.a.size[ids_a]), np.cumsum(self.b.size[ids_b])
-        last = end_a[np.cumsum(n_a) - 1]
+        is_a, is_b = np.zeros(starts[-1] + 1, bool), np.zeros(starts[-1] + 1, bool)
+        is_a[end_a], is_b[end_b] = True, True
+        # how many tokens of each side, groups and links have ended up to each byte
+        done_a, done_b, done, linked = (np.cumsum(x) for x in (is_a, is_b, is_a & is_b, is_a | is_b))
+        figures = np.diff([x[starts] for x in (done_a, done_b, done, linked)]).T
         # between two ends of either side, one token of each side goes on
-        ends, sides = _counted(np.concatenate((end_a, end_b)))
-        links = (ids_a[np.searchsorted(end_a, ends)] << 16 | ids_b[np.searchsorted(end_b, ends)]).tobytes()
-        shared = ends[sides == 2]
-        group_a, group_b = np.searchsorted(shared, end_a), np.searchsorted(shared, end_b)
-        codes = np.concatenate((2 * ids_a + (shared[group_a] == end_a), 2 * (len(self.a.size) + ids_b) + (shared[group_b] == end_b)))
-        order = np.argsort(np.concatenate((2 * group_a, 2 * group_b + 1)), kind="stable")
+        before = np.flatnonzero(is_a | is_b) - 1
+        links = ids_a[done_a[before]] << 16 | ids_b[done_b[before]]
+        codes = np.concatenate((2 * ids_a + is_b[end_a], 2 * (len(self.a.size) + ids_b) + is_a[end_b]))
+        order = np.argsort(np.concatenate((2 * done[end_a - 1], 2 * done[end_b - 1] + 1)), kind="stable")
         words = list(map(self.written.__getitem__, codes[order].tolist()))
-        to_word = np.cumsum(n_a + n_b).tolist()
-        to_link = (8 * np.searchsorted(ends, last, "right")).tolist()
-        to_group = np.searchsorted(shared, last, "right")
-        return [(n, "".join(words[w0:w1]), links[l0:l1]) for n, w0, w1, l0, l1 in zip(
-            np.diff(to_group, prepend=0).tolist(), [0, *to_word], to_word, [0, *to_link], to_link)]
-
-    def of(self, a: list[int], b: list[int]) -> tuple[list[Said], list[int]]:
-        """The windows of a text from its ids on both sides, and the byte at which each begins."""
-        ids_a, ids_b = np.array(a), np.array(b)
-        end_a, end_b = np.cumsum(self.a.size[ids_a]), np.cumsum(self.b.size[ids_b])
-        at_a, at_b = np.flatnonzero(self.a.spaced[ids_a]), np.flatnonzero(self.b.spaced[ids_b])
-        # where a token begins, another has ended; the first ones begin together
-        at_a, at_b = at_a[at_a > 0], at_b[at_b > 0]
-        anchors, i, j = np.intersect1d(end_a[at_a - 1], end_b[at_b - 1], assume_unique=True, return_indices=True)
-        cut_a, cut_b = at_a[i].tolist(), at_b[j].tolist()
-        a, b = tuple(a), tuple(b)
-        keys = [(a[a0:a1], b[b0:b1]) for a0, a1, b0, b1 in zip([0, *cut_a], [*cut_a, len(a)], [0, *cut_b], [*cut_b, len(b)])]
-        said = list(map(self.known.get, keys))
-        fresh = list(dict.fromkeys([key for key, s in zip(keys, said) if s is None]))
-        if fresh:
-            read = dict(zip(fresh, self._read(fresh)))
-            for key, s in read.items():
-                self.known.put(key, s)
-            said = [read[key] if s is None else s for key, s in zip(keys, said)]
-        return said, [0, *anchors.tolist()]
-
-
-class Texts:
-    """(ids on side A, ids on side B, groups, links, groups as text) of whole texts; what lies between single spaces is worked out once and remembered."""
-
-    def __init__(self, a: Side, b: Side):
-        self.a, self.b, self.local = a, b, a.local and b.local
-        self.windows, self.known = Windows(a, b), Remembered(REMEMBERED)
+        ends = np.cumsum(figures[:, 0] + figures[:, 1]).tolist()
+        return figures, links, ["".join(words[i:j]) for i, j in zip([0, *ends], ends)]
 
-    def _one(self, text: str, x: list[int], y: list[int]) -> tuple | None:
-        """How many ids a text has and what its windows say, if both sides spell it."""
+    def _one(self, text: str, a: list[int], b: list[int]) -> Said:
+        """What a text says as it stands: nothing if one side does not spell it."""
         spelt = (" " + text).encode()
-        if self.a.spells(x, spelt) and self.b.spells(y, spelt):
-            return len(x), len(y), *_in_a_row(self.windows.of(x, y)[0])
-        return None
+        if self.a.spells(a, spelt) and self.b.spells(b, spelt):
+            return self._read(a, b, np.array([0, len(spelt)]))
+        return _NOTHING
 
-    def _together(self, parts: list[str]) -> Iterator[tuple | None]:
-        """The same of texts that single spaces may join: every one begins at an anchor."""
+    def _together(self, parts: list[str]) -> Iterator[Said]:
+        """The same of texts that single spaces may join: tokens of both sides end before every one."""
         joined = " ".join(parts)
         spelt = (" " + joined).encode()
-        (x,), (y,) = self.a.ids([joined]), self.b.ids([joined])
-        if not (self.a.spells(x, spelt) and self.b.spells(y, spelt)):
-            if len(parts) == 1:
-                yield None
-            else:
-                yield from self._together(parts[: len(parts) // 2])
-                yield from self._together(parts[len(parts) // 2:])
-            return
-        starts = np.cumsum([0, *(len(p.encode()) + 1 for p in parts)])
-        windows, began = self.windows.of(x, y)
-        n_a, n_b = (np.diff(np.searchsorted(np.cumsum(side.size[ids]), starts, "right")).tolist() for side, ids in ((self.a, x), (self.b, y)))
-        cut = np.searchsorted(began, starts).tolist()
-        for i in range(len(parts)):
-            yield n_a[i], n_b[i], *_in_a_row(windows[cut[i]: cut[i + 1]])
-
-    def _learn(self, fresh: list[str]) -> dict[str, tuple | None]:
-        out = {}
+        (a,), (b,) = self.a.ids([joined]), self.b.ids([joined])
+        if self.a.spells(a, spelt) and self.b.spells(b, spelt):
+            sizes = list(map(len, parts)) if len(spelt) == len(joined) + 1 else [len(p.encode()) for p in parts]
+            starts = np.zeros(len(parts) + 1, np.int64)
+            np.cumsum(np.array(sizes) + 1, out=starts[1:])
+            yield self._read(a, b, starts)
+        elif len(parts) == 1:
+            yield _NOTHING
+        else:
+            yield from self._together(parts[: len(parts) // 2])
+            yield from self._together(parts[len(parts) // 2:])
+
+    def _learn(self, fresh: list[str]) -> None:
         plain = [s for s in fresh if self.local and "!" <= s[0] <= "~" and "!" <= s[-1] <= "~"]
-        for first in range(0, len(plain), TOGETHER):
-            some = plain[first: first + TOGETHER]
-            out.update(zip(some, self._together(some)))
-        rest = [s for s in fresh if s not in out]
-        for s, x, y in zip(rest, self.a.ids(rest), self.b.ids(rest)):
-            out[s] = self._one(s, x, y)
-        return out
+        said = [x for first in range(0, len(plain), TOGETHER) for x in self._together(plain[first: first + TOGETHER])]
+        known = set(plain)
+        rest = [s for s in fresh if s not in known]
+        said += [self._one(s, x, y) for s, x, y in zip(rest, self.a.ids(rest), self.b.ids(rest))]
+        self.number.update(zip(plain + rest, range(len(self.number), len(self.number) + len(fresh))))
+        self.figures = np.concatenate([self.figures, *(s[0] for s in said)])
+        self.links = np.concatenate([self.links, *(s[1] for s in said)])
+        self.groups.extend(chain.from_iterable([s[2] for s in said]))
 
     def of(self, texts: list[str]) -> Iterator[tuple[int, int, int, bytes, str]]:
         """Of each text; zeros, no links and no groups if its ids do not spell a space and the text on both sides."""
         cut = [(_SINGLE_SPACE.split(t) if self.local else [t]) if t else [] for t in texts]
-        here = {s: self.known.get(s) for s in set(chain.from_iterable(cut))}
-        for s, found in self._learn([s for s, found in here.items() if found is None]).items():
-            here[s] = found
-            if found is not None:
-                self.known.put(s, found)
-        # the stretches between spaces, numbered; their figures and links side by side
-        number = {s: i for i, s in enumerate(here)}
-        found = [f or (0, 0, 0, "", b"") for f in here.values()]
-        figures = np.array([f[:3] for f in found], np.int64).reshape(-1, 3)
-        n_links = np.array([len(f[4]) >> 3 for f in found], np.int64)
-        links, first = np.frombuffer(b"".join([f[4] for f in found]), np.int64), _before(n_links)
+        here = set(chain.from_iterable(cut))
+        fresh = here.difference(self.number)
+        if len(self.number) + len(fresh) > REMEMBERED:
+            self._forget()
+            fresh = here
+        if fresh:
+            self._learn(list(fresh))
+        n_links = self.figures[:, 3]
+        first = _before(n_links)
         for text, parts in zip(texts, cut):
-            at = np.fromiter(map(number.__getitem__, parts), np.int64, len(parts))
+            places = list(map(self.number.__getitem__, parts))
+            at = np.array(places, np.int64)
             n = n_links[at]  # a stretch that is spelt has links
             if n.all():
                 place = np.repeat(first[at] - _before(n), n) + np.arange(n.sum())
-                yield *figures[at].sum(axis=0).tolist(), links[place].tobytes(), "".join([found[i][3] for i in at.tolist()])[:-1]
+                links, groups = self.links[place], "".join(map(self.groups.__getitem__, places))
+                n_a, n_b, n_groups, _ = self.figures[at].sum(axis=0).tolist()
             else:
-                n_a, n_b, n_groups, groups, pairs = self._one(text, self.a.ids([text])[0], self.b.ids([text])[0]) or (0, 0, 0, "", b"")
-                yield n_a, n_b, n_groups, pairs, groups[:-1]
+                ((n_a, n_b, n_groups, _),), links, (groups,) = self._one(text, self.a.ids([text])[0], self.b.ids([text])[0])
+                n_a, n_b, n_groups = int(n_a), int(n_b), int(n_groups)
+            yield n_a, n_b, n_groups, links.tobytes(), groups[:-1]
 
 
 _NAMES = ["pair", "c", "row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times"]

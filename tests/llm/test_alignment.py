@@ -93,6 +93,17 @@ def test_tokenised_as_they_stand_when_spaces_do_not_separate(tools):
     assert cut == list(alignment.Texts(a, b).of(texts))
 
 
+def test_stretches_forgotten_between_texts_are_worked_out_again(monkeypatch):
+    with open(alignment.A_VOCABULARY, encoding="utf-8") as first, open(alignment.B_VOCABULARY, "rb") as second:
+        a, b = alignment.byte_level(first.read()), alignment.pieces(second.read())
+    texts = [t for t in odd_texts() if t] * 2
+    whole = list(alignment.Texts(a, b).of(texts))
+    monkeypatch.setattr(alignment, "REMEMBERED", 7)
+    few = alignment.Texts(a, b)
+    assert whole == [x for i in range(0, len(texts), 9) for x in few.of(texts[i: i + 9])]
+    assert len(few.number) < len(alignment._SINGLE_SPACE.split(" ".join(texts)))
+
+
 def test_empty_table(spark):
     space = common.Workspace(spark, "align")
     none = spark.createDataFrame([], "doc_id long, text string")
