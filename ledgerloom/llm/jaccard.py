@@ -47,9 +47,11 @@ SKETCH_BITS = 21
 BLOCK = 1 << 14
 #: Sets larger than this are never enumerated.
 MOST_LIGHT = 10
-#: Entries a list bucket aims at; shingles estimated above it are dealt over SALTS buckets.
-BUCKET = 1 << 20
+#: Entries a list bucket aims at and a task packs at once; shingles estimated at as many are dealt over SALTS buckets.
+BUCKET = 1 << 18
 SALTS = 64
+#: Rows of a batch between Spark and Python: texts, sets and pairs with both sets.
+BATCH_ROWS = 1024
 #: Rounds that compare members of lists still split with this many pivots of the list.
 ROUNDS, PIVOTS = 1, 8
 #: Members of a long list that one task compares with as many others.
@@ -143,7 +145,7 @@ def _levels(described: DataFrame) -> np.ndarray:
     mean = counts.mean()
     usual = mean + 8 * np.sqrt(mean) + 24
     level = np.clip(np.floor(np.log2(np.maximum(counts, 1) / usual)) + 1, 0, 7).astype(np.uint8)
-    return level + np.where(counts > BUCKET // 4, 128, 0).astype(np.uint8)
+    return level + np.where(counts > BUCKET, 128, 0).astype(np.uint8)
 
 
 def _boundary(described: DataFrame) -> int:
@@ -320,7 +322,7 @@ def _sets(wanted):
     return run
 
 
-def _fetch(documents: DataFrame, info: DataFrame, nodes: DataFrame) -> DataFrame:
+def _fetch(documents: DataFrame, info: DataFrame, nodes: DataFrame, space: C.Workspace, name: str) -> DataFrame:
     """(node, shingles) of the given nodes, from one reading of the texts without shuffling them."""
     spark = documents.sparkSession
     keys = info.join(nodes, "node").groupBy("node").agg(F.min("key").alias("key"))
@@ -329,7 +331,9 @@ def _fetch(documents: DataFrame, info: DataFrame, nodes: DataFrame) -> DataFrame
     wanted = spark.sparkContext.broadcast(table)
     places = [F.shiftrightunsigned(F.xxhash64(F.xxhash64("text"), F.lit(i)), 64 - bits).alias(f"p{i}") for i in (1, 2)]
     rows = documents.select("text", *places).mapInArrow(_sets(wanted), "node long, shingles binary")
-    return rows.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    sets = space.keep(rows.join(nodes, "node", "left_semi").dropDuplicates(["node"]), name)
+    wanted.destroy()
+    return sets
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -436,6 +440,19 @@ def _tiled(rows: DataFrame, slim: DataFrame, boundary: int) -> DataFrame:
 
 def classes(documents: DataFrame, space: C.Workspace) -> DataFrame:
     """(doc_id, key, n_shingles, node, component_id) per row; key is xxhash64 of the text."""
+    with C.batches_of(documents.sparkSession, BATCH_ROWS):
+        info, final = _resolved(documents, space)
+    named = info.join(final, "node", "left").select(
+        "doc_id", "key", F.col("n").alias("n_shingles"), "node", F.coalesce("component", "node").alias("component"))
+    named = named.withColumn("component", F.when(F.col("n_shingles") > 0, F.col("component")))
+    least = named.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return named.join(least, "component", "left").select(
+        "doc_id", "key", F.col("n_shingles").cast("long").alias("n_shingles"), "node",
+        F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _resolved(documents: DataFrame, space: C.Workspace) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, node, n, lead) per row, and (node, component) of the nodes with links."""
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     described = space.keep(rows.mapInArrow(
@@ -448,6 +465,7 @@ def classes(documents: DataFrame, space: C.Workspace) -> DataFrame:
     packed = documents.select("text").mapInArrow(
         _entries(levels, boundary, buckets), "bucket long, tokens binary, which binary, nodes binary, sizes binary")
     lists = space.keep(packed.groupBy("bucket").applyInArrow(_shared(buckets), "token long, node long, n int"), "lists")
+    levels.destroy()
 
     slim = space.keep(lists.groupBy("node").agg(F.collect_list("token").alias("tokens"), F.max("n").alias("n"), F.count("*").alias("m")), "slim")
 
@@ -456,7 +474,7 @@ def classes(documents: DataFrame, space: C.Workspace) -> DataFrame:
     near = lists.join(first, "token").select(F.col("node").alias("u"), F.explode(F.array("v", "w")).alias("v"))
     pairs = space.keep(_plausible(_pairs(near), slim, boundary), "pairs-0")
     ends = space.keep(_ends(pairs), "ends-0")
-    sets = space.keep(_fetch(documents, info, ends), "sets-0")
+    sets = _fetch(documents, info, ends, space, "sets-0")
     links = space.keep(_linked(pairs, sets), "links-0")
     # of lists with several components, every member against more pivots of other components, at last against all
     for step in range(1, ROUNDS + 2):
@@ -474,19 +492,12 @@ def classes(documents: DataFrame, space: C.Workspace) -> DataFrame:
         more = space.keep(more.join(pairs, ["u", "v"], "left_anti"), f"more-{step}")
         ends = space.keep(_ends(more), f"ends-{step}")
         missing = space.keep(ends.join(sets.select("node"), "node", "left_anti"), f"missing-{step}")
-        sets = sets.unionByName(space.keep(_fetch(documents, info, missing), f"sets-{step}"))
+        sets = sets.unionByName(_fetch(documents, info, missing, space, f"sets-{step}"))
         late = space.keep(_linked(more, sets.join(ends, "node", "left_semi")), f"links-{step}")
         pairs, links = pairs.unionByName(more), links.unionByName(late)
     final = space.keep(components(links, space, "last"), "final")
     space.drop("lists", "slim", "sized", "counted", *(f"{n}-{i}" for n in ("pairs", "more", "ends", "missing", "sets", "links", "found", "open") for i in range(ROUNDS + 2)))
-
-    named = info.join(final, "node", "left").select(
-        "doc_id", "key", F.col("n").alias("n_shingles"), "node", F.coalesce("component", "node").alias("component"))
-    named = named.withColumn("component", F.when(F.col("n_shingles") > 0, F.col("component")))
-    least = named.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "component", "left").select(
-        "doc_id", "key", F.col("n_shingles").cast("long").alias("n_shingles"), "node",
-        F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return info, final
 
 
 def keep_one(documents: DataFrame, space: C.Workspace) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +95,36 @@ def test_jaccard_with_many_near_copies(spark, space):
     assert sorted(got) == sorted(brute_components(table))
 
 
+def test_jaccard_tasks_hold_small_batches(spark, space, tmp_path, monkeypatch):
+    describe = jaccard._describe
+
+    def noted(batches):
+        def passed():
+            for batch in batches:
+                with open(tmp_path / "rows", "a") as file:
+                    file.write(f"{batch.num_rows}\n")
+                yield batch
+        yield from describe(passed())
+
+    monkeypatch.setattr(jaccard, "_describe", noted)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    some = [(i, f"some words that all texts begin with and number {i % 1500} at the end") for i in range(4000)]
+    assert jaccard.classes(spark.createDataFrame(some, "doc_id long, text string").coalesce(1), space).count() == 4000
+    rows = [int(n) for n in (tmp_path / "rows").read_text().split()]
+    assert sum(rows) == 4000 and max(rows) <= 1024
+    assert spark.conf.get(setting) == before
+
+
+def test_jaccard_packs_few_signatures_at_once():
+    texts = [" ".join(f"w{i}x{j}" for j in range(4000)) for i in range(700)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    levels = type("Shared", (), {"value": np.zeros(1 << jaccard.SKETCH_BITS, np.uint8)})
+    sizes = [sum(len(t.as_py()) // 8 for t in b["tokens"]) for b in jaccard._entries(levels, 0, 32)(iter([batch]))]
+    each = 3996 - 2997 + 1
+    assert sum(sizes) == 700 * each and max(sizes) <= (1 << 18) + 300 * each
+
+
 def test_near_duplicates_keep_one(docs, spark):
     kept = jaccard.keep_one(docs, common.Workspace(spark, "keep"))
     assert kept.columns == docs.columns
