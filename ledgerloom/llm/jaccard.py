@@ -135,13 +135,13 @@ def _levels(described: DataFrame) -> np.ndarray:
         total = np.zeros(BLOCK, np.int64)
         for part in rows["counts"]:
             total += np.frombuffer(zlib.decompress(part.as_buffer()), np.int32)
-        return pa.table({"block": rows["block"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"block": rows["block"][:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     parts = described.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(
         add, "block int, counts binary").toArrow()
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     for block, part in zip(parts["block"].to_pylist(), parts["counts"].to_pylist()):
-        counts[block * BLOCK: (block + 1) * BLOCK] = np.frombuffer(part, np.int64)
+        counts[block * BLOCK: (block + 1) * BLOCK] = np.frombuffer(zlib.decompress(part), np.int64)
     mean = counts.mean()
     usual = mean + 8 * np.sqrt(mean) + 24
     level = np.clip(np.floor(np.log2(np.maximum(counts, 1) / usual)) + 1, 0, 7).astype(np.uint8)

@@ -13,6 +13,7 @@ scores, texts are read whole, other columns pass through untouched.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,6 +102,7 @@ def sigmoid(x):
 
 
 def _sparse(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Label, places and values of each text's n-grams, both compressed."""
     for batch in rows:
         labels = batch.column("label")
         for texts in C.text_chunks(batch.column("text")):
@@ -110,8 +112,8 @@ def _sparse(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cut = np.searchsorted(doc, np.arange(len(texts) + 1))
             yield pa.RecordBatch.from_arrays(
                 [labels.slice(texts.rows[0], len(texts)),
-                 pa.array([at[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()),
-                 pa.array([value[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())],
+                 pa.array([zlib.compress(at[a:b].tobytes(), 1) for a, b in zip(cut, cut[1:])], pa.binary()),
+                 pa.array([zlib.compress(value[a:b].tobytes(), 1) for a, b in zip(cut, cut[1:])], pa.binary())],
                 ["label", "at", "value"])
 
 
@@ -129,11 +131,12 @@ def train(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS)
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(
         F.min("text").alias("text"), F.first("label").cast("int").alias("label"))
     features = rows.select("text", "label").mapInArrow(_sparse, "label int, at binary, value binary").toArrow()
-    cases = sorted(zip(features["label"].to_pylist(), features["at"].to_pylist(), features["value"].to_pylist()))
+    at, value = ([zlib.decompress(x) for x in features[name].to_pylist()] for name in ("at", "value"))
+    cases = sorted(zip(features["label"].to_pylist(), at, value))
     model = Ftrl()
     if not cases:
         return model.weights()
-    del features
+    del features, at, value
     cases = [(float(y), np.append(np.frombuffer(a, np.int32), np.int32(2**BITS)),
               np.append(np.frombuffer(v, np.float32), np.float32(1))) for y, a, v in cases]
     random = np.random.default_rng(7)
