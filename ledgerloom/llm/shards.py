@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import Workspace, mix
+from ledgerloom.llm.common import Workspace, batches_of, mix
 from ledgerloom.llm.tokens import VOCABULARY, Encoder, read_ranks
 
 LENGTH = 2048
@@ -45,6 +45,8 @@ KEY = 20240601
 ROUNDS = 6
 #: Tokens of the documents that a range of the hash should hold, and the most ranges.
 RANGE_TOKENS, MOST_RANGES = 1 << 22, 1 << 17
+#: Rows of a batch between Spark and Python.
+BATCH_ROWS = 1024
 
 
 # ----------------------------------------------------------------- permutation
@@ -224,6 +226,11 @@ def _write(folder: str, length: int, per_shard: int, end: int):
 def materialise(documents: DataFrame, space: Workspace, vocabulary: str = VOCABULARY, key: int = KEY,
                 length: int = LENGTH, per_shard: int = PER_SHARD) -> tuple[DataFrame, str]:
     """Write the shards; (slot, shard, byte_offset, doc_ids, n_tokens) per sequence, and the shards' folder."""
+    with batches_of(documents.sparkSession, BATCH_ROWS):
+        return _materialised(documents, space, vocabulary, key, length, per_shard)
+
+
+def _materialised(documents: DataFrame, space: Workspace, vocabulary: str, key: int, length: int, per_shard: int) -> tuple[DataFrame, str]:
     spark = documents.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(vocabulary))
     docs = documents.where("text IS NOT NULL AND text <> ''").select(
@@ -235,8 +242,9 @@ def materialise(documents: DataFrame, space: Workspace, vocabulary: str = VOCABU
     cut = F.shiftright(F.col("place"), 64 - bits).cast("int") + 2 ** (bits - 1) if bits else F.lit(0)
     light = coded.select(cut.alias("range"), "place", "doc_id", "n", "part", "k")
     counts = sorted((r.range, r.n) for r in light.groupBy("range").agg(F.sum("n").alias("n")).collect())  # at most MOST_RANGES
-    offsets = spark.createDataFrame(
-        [(r, int(at)) for (r, _), at in zip(counts, np.cumsum([0, *(c for _, c in counts)]))], "range int, begins long")
+    begins = np.cumsum([0, *(c for _, c in counts)], dtype=np.int64)[:len(counts)]
+    # an Arrow table: a list would start Python workers of another kind on the executors, which stay for a minute
+    offsets = spark.createDataFrame(pa.table({"range": pa.array([r for r, _ in counts], pa.int32()), "begins": pa.array(begins)}))
     before = F.sum("n").over(Window.partitionBy("range").orderBy("place", "doc_id", "part", "k").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)) - F.col("n")
     places = space.path("places")

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import SparkContext
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import chat, common, decontaminate, jaccard, language, lines, mixing, neighbours, quality, scoring, shards
@@ -224,6 +225,15 @@ def test_shards_round_trip(docs, spark, space):
     assert all(r.n_tokens == 64 for r in got if shards.source_of([r.slot], len(got))[0] < len(got) - 1)
 
 
+def test_training_order_starts_no_workers_for_lists(docs, space, monkeypatch):
+    def refused(*_, **__):
+        raise AssertionError("a list travels through Python workers")
+
+    monkeypatch.setattr(SparkContext, "parallelize", refused)
+    assert shards.materialise(docs, space)[0].count() > 0
+    assert shards.materialise(docs.limit(0), space)[0].count() == 0
+
+
 def test_training_order_does_not_depend_on_partitions(docs, spark, space, monkeypatch):
     """Other partitions, another order of the rows and ranges of 500 tokens give the same shards; a task writes one shard."""
     seen = []
