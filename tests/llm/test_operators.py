@@ -169,6 +169,23 @@ def test_decontamination(spark, space):
     assert sorted((r.doc_id for r in kept.collect())) == [3, 4, 5, 6, 7]
 
 
+def test_clean_documents_are_not_shuffled(spark, space):
+    """However many ids are found, within the bound: the texts stay where they are."""
+    prose = words(30, 7)
+    docs = spark.createDataFrame([(i, f"{words(9, i)} {prose if i % 3 else ''}") for i in range(60)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, prose)], "item_id long, text string")
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        kept = decontaminate.clean(docs, bench, space)
+        plan = kept._jdf.queryExecution().sparkPlan().toString()
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 60, 3))
+    finally:
+        spark.conf.set(name, before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_decontamination_against_plain_windows(spark, space):
     """Every document of the given table that holds half of an item's plain windows is found, and no other."""
     docs, bench = common.table(spark, SF, "documents"), common.table(spark, SF, "benchmark")
